@@ -2,8 +2,9 @@
 
 1. Every window of `window` words has an anchor, its phrase of PHRASE words of least hash; equal windows have equal anchors.
    Anchor phrases are counted over the corpus; only those that recur can stand in a recurring window.
-2. For each shard of documents, windows on recurring phrases are hashed (128 bits) and counted over the corpus: those found twice are confirmed.
-3. For each shard, an automaton is compiled from the phrases of its confirmed windows, as strings with one symbol a word.
+2. For each shard of documents, consecutive windows on one recurring phrase form a fragment, kept once with its number. Fragments found twice
+   are confirmed whole; the windows of the others are counted over the corpus, by 128 bits of phrase and window hash: those found twice are confirmed.
+3. For each shard, an automaton is compiled from the phrases of its confirmed windows, as strings with SYMBOLS characters a word.
    The shard's documents are streamed through it; at each occurrence the windows around it are looked up among the confirmed ones.
 An automaton holds no more phrases than its shard has anchors, so its size is bounded by the shard and not by the corpus.
 Hot passages are summed in each batch before any shuffle, so they come as at most one row for each batch.
@@ -29,6 +30,8 @@ from tidelog.llm.common import beside, dealt, dropped, parts, saved, tuned
 
 WINDOW = 35
 PHRASE = 8
+#: Characters that stand for a word in an automaton; a chance likeness is rejected when its windows are looked up.
+SYMBOLS = 3
 #: Most phrases in one automaton; a shard with more gets several.
 AUTOMATON_PHRASES = 200_000
 
@@ -40,40 +43,43 @@ def _hashed(data, off):
 
 
 def _symbols(h: np.ndarray) -> str:
-    """One character a word, none of them a surrogate."""
-    return ((h >> tn.U(13)) % tn.U(0xF0000) + tn.U(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
+    """SYMBOLS characters a word, of an alphabet of 32: automaton nodes search their edges one by one, so fan-out stays low."""
+    shifts = np.arange(SYMBOLS, dtype=tn.U) * tn.U(5) + tn.U(13)
+    return (((h[:, None] >> shifts) & tn.U(31)) + tn.U(48)).astype(np.uint8).tobytes().decode("ascii")
 
 
 def _phrase_len(window: int) -> int:
     return min(PHRASE, window)
 
 
+def _of(shard: np.ndarray, lo: int, first: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The shard of the document that holds each word."""
+    return shard[lo:][np.searchsorted(first, pos, "right") - 1]
+
+
 def _seeds(window: int):
     k = _phrase_len(window)
 
     def run(batches):
         for b in batches:
             shard = b.column("shard").to_numpy()
-            for lo, hi, data, off in tn.texts(b.column("text")):
+            for lo, _, data, off in tn.texts(b.column("text")):
                 h, first = _hashed(data, off)
                 g = tn.gram_hash(h, k)
                 pos, _, _ = tn.anchors(g, first, window, k)
-                of = shard[lo:hi][np.searchsorted(first, pos, "right") - 1]
-                pairs, n = np.unique(np.stack([g[pos].view(np.int64), of.astype(np.int64)]), axis=1, return_counts=True) if len(pos) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1].astype(np.int32)), pa.array(n.astype(np.int64))], names=["seed", "shard", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(g[pos].view(np.int64)), pa.array(_of(shard, lo, first, pos), pa.int32())], names=["seed", "shard"])
 
     return run
 
 
-def _windows(window: int):
-    """side: recurring seeds of the shard. Gives each window on them as hash halves w1, w2 with its count, and each phrase itself."""
+def _fragments(window: int):
+    """side: recurring seeds of the shard. Gives each run of windows on one of them, once for each shard with its number n: hash, phrase and window hashes."""
     k = _phrase_len(window)
 
     def run(side, docs):
         seeds = [tn.as_u64(b.column("seed")) for b in side]
         seeds = np.unique(np.concatenate(seeds)) if seeds else np.zeros(0, tn.U)
-        phrases: set[str] = set()
-        out: list[np.ndarray] = []
+        keys, sizes, windows, phrases = [], [], [], []
         for b in docs:
             shard = b.column("shard").to_numpy()
             for lo, _, data, off in tn.texts(b.column("text")):
@@ -84,32 +90,28 @@ def _windows(window: int):
                 if not hit.any():
                     continue
                 pos, a, z = pos[hit], a[hit], z[hit]
-                of = shard[lo:][np.searchsorted(first, pos, "right") - 1]
-                at = tn.ranges(a, z)
-                out.append(np.stack([tn.gram_hash(h, window)[at], tn.gram_hash(h, window, tn.GRAM_BASE_2)[at], np.repeat(of, z - a + 1).astype(tn.U)]))
+                keys.append(np.stack([g[pos], tn.Prefix(h, tn.GRAM_BASE_2).spans(a, z + window), _of(shard, lo, first, pos).astype(tn.U)]))
+                sizes.append(z - a + 1)
+                windows.append(tn.gram_hash(h, window)[tn.ranges(a, z)])
                 text = _symbols(h)
-                phrases.update((s, text[p : p + k]) for p, s in zip(pos.tolist(), of.tolist(), strict=True))
-        names = ["w1", "w2", "shard", "n", "phrase"]
-        if out:
-            w = np.concatenate(out, axis=1)
-            order = np.lexsort(w)
-            w = w[:, order]
-            new = np.flatnonzero(np.concatenate([[True], (w[:, 1:] != w[:, :-1]).any(axis=0)]))
-            n = np.diff(np.concatenate([new, [w.shape[1]]]))
-            w = w[:, new]
-            for i in range(0, len(n), 50_000):
-                j = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(w[0, j].view(np.int64)), pa.array(w[1, j].view(np.int64)), pa.array(w[2, j].astype(np.int32)), pa.array(n[j].astype(np.int64)), pa.nulls(len(n[j]), pa.string())], names=names)
-        if phrases:
-            of, text = zip(*sorted(phrases), strict=True)
-            m = len(of)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(of, pa.int32()), pa.nulls(m, pa.int64()), pa.array(text, pa.string())], names=names)
+                phrases.extend(text[p * SYMBOLS : (p + k) * SYMBOLS] for p in pos.tolist())
+        if not keys:
+            return
+        key, size, window_hash = np.concatenate(keys, axis=1), np.concatenate(sizes), np.concatenate(windows)
+        begin = np.cumsum(size) - size
+        order = np.lexsort(key)
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(key[:, order].view(np.int64), axis=1) != 0).any(axis=0)]))
+        n = np.diff(np.concatenate([new, [len(order)]])).astype(np.int64)
+        for i in range(0, len(new), 10_000):
+            j = order[new[i : i + 10_000]]
+            w = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[j])]), pa.int32()), pa.array(window_hash[tn.ranges(begin[j], begin[j] + size[j] - 1)].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(key[0, j].view(np.int64)), pa.array(key[1, j].view(np.int64)), pa.array(key[2, j].astype(np.int32)), pa.array(n[i : i + 10_000]), pa.array([phrases[x] for x in j.tolist()], pa.string()), w], names=["seed", "f", "shard", "n", "phrase", "w"])
 
     return run
 
 
 def automata(phrases: list[str], most: int = AUTOMATON_PHRASES) -> list:
-    """Aho-Corasick automata over strings with one symbol a word."""
+    """Aho-Corasick automata over phrases as _symbols() writes them."""
     out = []
     for i in range(0, len(phrases), most):
         one = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
@@ -121,24 +123,24 @@ def automata(phrases: list[str], most: int = AUTOMATON_PHRASES) -> list:
 
 
 def occurrences(machines: list, text: str) -> np.ndarray:
-    """Last symbol of every occurrence of any phrase, ascending."""
-    ends = [np.fromiter((e for e, _ in m.iter(text)), np.int64) for m in machines]
-    return np.unique(np.concatenate(ends)) if ends else np.zeros(0, np.int64)
+    """Last word of every occurrence of any phrase, ascending."""
+    ends = [np.fromiter((e + 1 for e, _ in m.iter(text)), np.int64) for m in machines]
+    ends = np.unique(np.concatenate(ends)) if ends else np.zeros(0, np.int64)
+    return ends[ends % SYMBOLS == 0] // SYMBOLS - 1
 
 
 def _removed(window: int, texts_too: bool):
     k = _phrase_len(window)
 
     def run(side, docs):
-        phrases, w1, w2 = set(), [np.zeros(0, tn.U)], [np.zeros(0, tn.U)]
+        phrases, seed, w = set(), [np.zeros(0, tn.U)], [np.zeros(0, tn.U)]
         for b in side:
-            is_phrase = b.column("phrase").is_valid()
-            phrases.update(b.column("phrase").filter(is_phrase).to_pylist())
-            windows = b.filter(pc.invert(is_phrase))
-            w1.append(tn.as_u64(windows.column("w1")))
-            w2.append(tn.as_u64(windows.column("w2")))
-        confirmed = tn.Pairs(np.concatenate(w1), np.concatenate(w2))
-        machines = automata(sorted(phrases)) if len(confirmed.a) else []
+            phrases.update(b.column("phrase").to_pylist())
+            lists = b.column("w")
+            w.append(tn.as_u64(lists.flatten()))
+            seed.append(np.repeat(tn.as_u64(b.column("seed")), pc.list_value_length(lists).to_numpy()))
+        confirmed = tn.Pairs(np.concatenate(w), np.concatenate(seed))
+        machines = automata(sorted(phrases))
         for b in docs:
             ids = b.column("id")
             for lo, hi, data, off in tn.texts(b.column("text")):
@@ -147,16 +149,13 @@ def _removed(window: int, texts_too: bool):
                 ends = occurrences(machines, _symbols(h))
                 starts = np.zeros(0, np.int64)
                 if len(ends):
-                    doc = np.searchsorted(first, ends, "right") - 1
                     p = ends - k + 1
-                    whole = p >= first[doc]
-                    p, doc = p[whole], doc[whole]
+                    doc = np.searchsorted(first, p, "right") - 1
                     a, z = np.maximum(p - (window - k), first[doc]), np.minimum(p, first[doc + 1] - window)
-                    fits = a <= z
-                    near = np.flatnonzero(np.cumsum((np.bincount(a[fits], minlength=n + 2) - np.bincount(z[fits] + 1, minlength=n + 2))[: n + 1]) > 0)
-                    if len(near):
-                        g1, g2 = tn.gram_hash(h, window), tn.gram_hash(h, window, tn.GRAM_BASE_2)
-                        starts = near[confirmed.find(g1[near], g2[near]) >= 0]
+                    fits = (a <= z) & (ends < first[doc + 1])
+                    p, a, z = p[fits], a[fits], z[fits]
+                    near = tn.ranges(a, z)
+                    starts = np.unique(near[confirmed.find(tn.gram_hash(h, window)[near], np.repeat(tn.gram_hash(h, k)[p], z - a + 1)) >= 0])
                 gone = tn.covered(starts, window, n)
                 removed = np.concatenate([[0], np.cumsum(gone)])[first]
                 kept_hash, kept_text, spans = [], [], []
@@ -195,16 +194,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = parts(docs.select(id_col, text_col))
     ours = dealt(docs, id_col, text_col, n)
     kind = ours.schema["id"].dataType.simpleString()
-    seeds = saved(ours.select("text", "shard").mapInArrow(_seeds(window), "seed long, shard int, n long"), "seeds")
-    twice = seeds.groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed")
-    side = seeds.join(twice, "seed", "left_semi").select("seed", "shard").distinct()
-    windows = saved(beside(ours.select("text", "shard"), side, n, _windows(window), "w1 long, w2 long, shard int, n long, phrase string"), "windows")
+    seeds = saved(ours.select("text", "shard").mapInArrow(_seeds(window), "seed long, shard int"), "seeds")
+    twice = seeds.groupBy("seed").count().filter("count > 1").select("seed")
+    side = seeds.distinct().join(twice, "seed", "left_semi").select("seed", "shard")
+    found = saved(beside(ours.select("text", "shard"), side, n, _fragments(window), "seed long, f long, shard int, n long, phrase string, w array<long>"), "fragments")
     dropped(seeds)
-    is_window = F.col("phrase").isNull()
-    again = windows.filter(is_window).groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2")
-    confirmed = windows.filter(is_window).join(again, ["w1", "w2"], "left_semi")
-    side = saved(confirmed.select("w1", "w2", "shard", "phrase").unionByName(windows.filter(~is_window).select("w1", "w2", "shard", "phrase")), "confirmed")
-    dropped(windows)
+    each = saved(found.groupBy("seed", "f").agg(F.sum("n").alias("n"), F.first("w").alias("w")), "each")
+    windows = each.select("seed", "f", "n", F.explode("w").alias("w"))
+    again = saved(windows.groupBy("seed", "w").agg(F.sum("n").alias("n")).filter("n > 1").select("seed", "w"), "again")
+    parts_of = windows.filter("n = 1").join(again, ["seed", "w"], "left_semi").groupBy("seed", "f").agg(F.collect_list("w").alias("w"))
+    confirmed = each.filter("n > 1").select("seed", "f", "w").unionByName(parts_of)
+    side = saved(found.select("seed", "f", "shard", "phrase").join(confirmed, ["seed", "f"]).select("seed", "phrase", "w", "shard"), "confirmed")
+    dropped(found, each, again)
     schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, removed array<struct<first:int,after:int>>" * texts
     return beside(ours, side, n, _removed(window, texts), schema).withColumnRenamed("id", id_col)
 

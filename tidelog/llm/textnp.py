@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text that are worked on at once; one longer document is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -79,21 +79,28 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span."""
-    p, q = powers(BYTE_BASE, len(data))
-    c = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * p[: len(data)], out=c[1:])
-    return mix((c[end] - c[start]) * q[start] + (end - start).astype(U))
+    return Prefix(data, BYTE_BASE).spans(start, end)
 
 
 def gram_hash(h: np.ndarray, k: int, base: int = GRAM_BASE) -> np.ndarray:
     """64-bit hash of each k consecutive entries of h."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, U)
-    p, q = powers(base, len(h))
-    c = np.zeros(len(h) + 1, U)
-    np.cumsum((h + U(1)) * p[: len(h)], out=c[1:])
-    return mix((c[k:] - c[:-k]) * q[:n])
+    return Prefix(h, base).grams(k)
+
+
+class Prefix:
+    """Sums from which the hash of any span of units follows at once."""
+
+    def __init__(self, units: np.ndarray, base: int):
+        p, self.q = powers(base, len(units))
+        self.c = np.zeros(len(units) + 1, U)
+        np.cumsum((units.astype(U) + U(1)) * p[: len(units)], out=self.c[1:])
+
+    def grams(self, k: int) -> np.ndarray:
+        n = len(self.c) - k
+        return mix((self.c[k:] - self.c[:n]) * self.q[:n]) if n > 0 else np.zeros(0, U)
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.c[end] - self.c[start]) * self.q[start] + (end - start).astype(U))
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
