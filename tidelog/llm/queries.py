@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.ngram_join import ngram_components
+from tidelog.llm.sstable import token_ids
 from tidelog.llm.substring_dedup import substring_dedup
 from tidelog.llm.suffix_dedup import suffix_dedup
 
@@ -27,8 +28,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op10_ngram_join, op9_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
