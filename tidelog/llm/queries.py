@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.ngram_join import ngram_components
 from tidelog.llm.sstable import token_ids
+from tidelog.llm.toxicity import toxicity
 from tidelog.llm.substring_dedup import substring_dedup
 from tidelog.llm.suffix_dedup import suffix_dedup
 
@@ -32,8 +33,12 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op10_ngram_join, op9_token_ids)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op10_ngram_join, op9_token_ids, op4_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
