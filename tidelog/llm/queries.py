@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.llm.ngram_join import ngram_components
 from tidelog.llm.sstable import token_ids
 from tidelog.llm.toxicity import toxicity
+from tidelog.llm import quality, url_filter
+from tidelog.llm.quality import host_quality
+from tidelog.llm.url_filter import QUERY_RULES, url_verdicts
 from tidelog.llm.substring_dedup import substring_dedup
 from tidelog.llm.suffix_dedup import suffix_dedup
 
@@ -37,9 +40,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_quality(_table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"), spark.createDataFrame(QUERY_RULES, "host string, path string, verdict string"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op10_ngram_join, op9_token_ids, op4_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op10_ngram_join, op9_token_ids, op4_toxicity, op5_host_quality, op7_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_host_quality": quality.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL}
