@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm.textnp import trim
+
 #: Text that one task of a dealt step is meant to hold; tasks stream it, so this bounds time and not memory.
 SHARD_BYTES = 64 << 20
 #: Rows and bytes of one Arrow batch, so that a batch of long documents stays small.
@@ -108,6 +110,7 @@ def beside(docs: DataFrame, side: DataFrame, n: int, fn: Callable, schema: str)
                 yield b.select(doc_cols)
 
         yield from fn(sides(), texts())
+        trim()
 
     return both.repartitionById(n, F.col("shard")).sortWithinPartitions(tag).mapInArrow(run, schema)
 

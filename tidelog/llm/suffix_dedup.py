@@ -27,9 +27,11 @@ from tidelog.llm.common import beside, dealt, dropped, parts, saved, tuned
 LENGTH = 200
 SEED = 40
 #: Rows of one seed beyond which its fragments aren't gathered in one place.
-HOT_ROWS = 4000
+HOT_ROWS = 2000
 #: Bytes of fragments whose suffixes are sorted at once; whole seeds stay together.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes of text that are worked on at once: every byte takes part in a score of 64-bit arrays.
+SLICE_BYTES = 1 << 18
 #: Hot seeds that may be broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SEEDS = 100_000
 
@@ -60,30 +62,39 @@ def _nearest_smaller(values: np.ndarray) -> np.ndarray:
         at[busy] = at[at[busy]]
 
 
-def previous_factors(text: np.ndarray, room: np.ndarray, starts: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longest previous factor of each start, at most cap, and the earlier start it matches (-1: none).
+def previous_factors(text: np.ndarray, room: np.ndarray, starts: np.ndarray, cap: int, full: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous factor of each start, at most cap, and the earlier start it matches (-1: none). Not full: only those of cap bytes, else 0.
 
     room: bytes from each position to the end of its fragment. starts: ascending positions that count, each with room for cap bytes.
     """
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    levels = [(1, text.astype(np.uint64))]
-    while levels[-1][0] < 8 and levels[-1][0] * 2 <= cap:
-        size, key = levels[-1]
-        levels.append((size * 2, (key << np.uint64(8 * size)) | _ahead(key, size)))
-    size, key = levels[-1]
+    size, key = 1, text.astype(np.uint64)
+    levels = [(1, text)] if full else []
+    while size < 8 and size * 2 <= cap:
+        key = (key << np.uint64(8 * size)) | _ahead(key, size)
+        size *= 2
+        if full and size < 8:
+            levels.append((size, key))
     rank = _dense(key, np.argsort(key))
-    levels[-1] = (size, rank)
-    while size * 2 <= cap:
+    while True:
+        if full:
+            levels.append((size, rank))
+        if size * 2 > cap:
+            break
         key = rank * (len(text) + 1) + _ahead(rank, size)
         rank = _dense(key, np.argsort(key))
         size *= 2
-        levels.append((size, rank))
     key = rank[starts] * (len(text) + 1) + _ahead(rank, cap - size)[starts]
     suffixes = starts[np.argsort(key, kind="stable")]
     before = _nearest_smaller(suffixes)
     after = len(suffixes) - 1 - _nearest_smaller(suffixes[::-1])[::-1]
     n = len(suffixes)
+    at = np.searchsorted(starts, suffixes)
+
+    def alike(other: np.ndarray) -> np.ndarray:
+        there = (other >= 0) & (other < n)
+        return np.where(there & (key[at] == key[at[np.where(there, other, 0)]]), cap, 0)
 
     def common(other: np.ndarray) -> np.ndarray:
         there = (other >= 0) & (other < n)
@@ -99,11 +110,11 @@ def previous_factors(text: np.ndarray, room: np.ndarray, starts: np.ndarray, cap
                 got[same] += step
         return np.minimum(got, limit)
 
-    a, b = common(before), common(after)
+    a, b = (common(before), common(after)) if full else (alike(before), alike(after))
     longest = np.maximum(a, b)
     source = np.where(longest == 0, -1, suffixes[np.clip(np.where(a >= b, before, after), 0, n - 1)])
     back = np.empty(n, np.int64)
-    back[np.searchsorted(starts, suffixes)] = np.arange(n)
+    back[at] = np.arange(n)
     return longest[back], source[back]
 
 
@@ -124,7 +135,7 @@ def _seeds(length: int):
     def run(batches):
         for b in batches:
             shard = b.column("shard").to_numpy()
-            for lo, _, data, off in tn.texts(b.column("text")):
+            for lo, _, data, off in tn.texts(b.column("text"), SLICE_BYTES):
                 _, g, pos, _, _ = _runs(data, off, length, k)
                 pairs = np.stack([g[pos].view(np.int64), shard[lo:][np.searchsorted(off, pos, "right") - 1].astype(np.int64)])
                 pairs, n = np.unique(pairs, axis=1, return_counts=True) if len(pos) else (pairs, np.zeros(0, np.int64))
@@ -141,7 +152,7 @@ def _fragments(length: int):
         seeds = np.unique(np.concatenate(seeds)) if seeds else np.zeros(0, tn.U)
         for b in docs:
             shard = b.column("shard").to_numpy()
-            for lo, _, data, off in tn.texts(b.column("text")):
+            for lo, _, data, off in tn.texts(b.column("text"), SLICE_BYTES):
                 sums, g, pos, a, z = _runs(data, off, length, k)
                 hit = tn.member(g[pos], seeds)
                 if not hit.any():
@@ -167,7 +178,7 @@ def recurring_starts(bodies: list[bytes], length: int) -> list[np.ndarray]:
     text = np.frombuffer(b"".join(bodies), np.uint8)
     room = np.repeat(off[1:], sizes) - np.arange(off[-1])
     starts = np.flatnonzero(room >= length)
-    longest, source = previous_factors(text, room, starts, length)
+    longest, source = previous_factors(text, room, starts, length, full=False)
     hit = longest >= length
     found = np.zeros(off[-1] + 1, bool)
     found[starts[hit]] = True
@@ -222,6 +233,7 @@ def _verdicts(length: int):
         close()
         yield judged(waiting)
         yield _whole(alone)
+        tn.trim()
 
     return run
 
@@ -236,7 +248,7 @@ def _strings(length: int):
 
     def run(batches):
         for b in batches:
-            for lo, hi, data, off in tn.texts(b.column("body")):
+            for lo, hi, data, off in tn.texts(b.column("body"), SLICE_BYTES):
                 last = off[1:] - length
                 at = tn.ranges(off[:-1], last)
                 of = np.repeat(np.arange(lo, hi), last - off[:-1] + 1)
@@ -259,7 +271,7 @@ def _removed(length: int, texts_too: bool):
         known = tn.Pairs(np.concatenate(f1), np.concatenate(f2))
         for b in docs:
             ids = b.column("id")
-            for lo, hi, data, off in tn.texts(b.column("text")):
+            for lo, hi, data, off in tn.texts(b.column("text"), SLICE_BYTES):
                 starts = np.zeros(0, np.int64)
                 if len(known.a):
                     sums, _, pos, a, z = _runs(data, off, length, k)
