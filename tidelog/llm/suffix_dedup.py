@@ -5,7 +5,8 @@
 2. Consecutive strings with one anchor form a fragment. For each shard of documents the fragments on recurring seeds are kept once with their number.
 3. Fragments meet by seed, where all equal strings are together. Their bytes are joined and sorted as suffixes; previous and next smaller
    positions in suffix order give each position's longest earlier match and its source. Positions that match `length` bytes and their sources recur.
-   A fragment that was found twice recurs whole. A seed with very many different fragments isn't gathered: its strings are counted by a 128-bit hash.
+   A fragment that was found twice recurs whole. A seed with very many different fragments isn't gathered: its fragments are cut anew by a second
+   anchor and meet by both; strings whose anchors are both that common are counted by a 128-bit hash.
 4. Verdicts go back to the shards that hold the fragments, and the documents' bytes are removed there.
 
 Results: null text is empty. Repeated rows are documents of their own, so their strings recur. Bytes are counted and removed as they are, even inside a
@@ -28,6 +29,8 @@ LENGTH = 200
 SEED = 40
 #: Rows of one seed beyond which its fragments aren't gathered in one place.
 HOT_ROWS = 2000
+#: Times that hot seeds are cut anew.
+LEVELS = 1
 #: Bytes of fragments whose suffixes are sorted at once; whole seeds stay together.
 CHUNK_BYTES = 1 << 18
 #: Bytes of text that are worked on at once: every byte takes part in a score of 64-bit arrays.
@@ -243,6 +246,27 @@ def _whole(alone: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(len(keys), pa.list_(pa.int32()))], names=["f1", "f2", "gone"])
 
 
+def _pieces(length: int):
+    """Fragments of hot seeds cut anew by a second anchor, that of another hash: most strings of a hot seed part there."""
+    k = _seed_len(length)
+
+    def run(batches):
+        for b in batches:
+            for lo, _, data, off in tn.texts(b.column("body"), SLICE_BYTES):
+                g = tn.Prefix(data, tn.GRAM_BASE_2).grams(k)
+                pos, a, z = tn.anchors(g, off, length, k)
+                of = np.searchsorted(off, a, "right") - 1
+                p1, p2, n, seed = (b.column(c).to_numpy()[lo + of] for c in ("f1", "f2", "n", "seed"))
+                f1, f2 = (tn.Prefix(data, base).spans(a, z + length).view(np.int64) for base in (tn.BYTE_BASE, tn.GRAM_BASE_2))
+                raw = data.tobytes()
+                body = [raw[x:y] for x, y in zip(a.tolist(), (z + length).tolist(), strict=True)]
+                both = tn.mix(seed.view(tn.U) ^ g[pos]).view(np.int64)
+                cols = [both, f1, f2, n, p1, p2, (a - off[of]).astype(np.int32), (z - off[of]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(body, pa.binary())], names=["seed", "f1", "f2", "n", "p1", "p2", "first", "last", "body"])
+
+    return run
+
+
 def _strings(length: int):
     """Each string of each fragment as a hash, for seeds that are too common to gather."""
 
@@ -302,6 +326,34 @@ def _removed(length: int, texts_too: bool):
     return run
 
 
+def _judged(frags: DataFrame, n: int, length: int, levels: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Verdicts on fragments (seed, f1, f2, n, body), and the scratch tables they stand on. Hot seeds are cut anew, levels times, before strings are counted."""
+    hot = saved(frags.groupBy("seed").count().filter(F.col("count") > HOT_ROWS).select("seed"), "hot")
+    n_hot = hot.count()
+    hint = F.broadcast(hot) if n_hot <= BROADCAST_SEEDS else hot
+    cold = frags.join(hint, "seed", "left_anti") if n_hot else frags
+    cold = cold.select("seed", "f1", "f2", "n", "body").repartition(n, "seed").sortWithinPartitions("seed")
+    verdicts = saved(cold.mapInArrow(_verdicts(length), "f1 long, f2 long, gone array<int>"), "verdicts")
+    if not n_hot:
+        return verdicts, [hot, verdicts]
+    each = frags.join(hint, "seed", "left_semi").groupBy("f1", "f2").agg(F.first("seed").alias("seed"), F.sum("n").alias("n"), F.first("body").alias("body"))
+    if levels:
+        pieces = saved(each.mapInArrow(_pieces(length), "seed long, f1 long, f2 long, n long, p1 long, p2 long, first int, last int, body binary"), "pieces")
+        below, scratch = _judged(pieces.select("seed", "f1", "f2", "n", "body"), n, length, levels - 1)
+        whole = F.when(F.col("gone").isNull(), F.array("first", "last")).otherwise(F.transform("gone", lambda x: x + F.col("first")))
+        found = pieces.select("f1", "f2", "p1", "p2", "first", "last").join(below, ["f1", "f2"]).select("p1", "p2", whole.alias("gone"))
+        more = found.groupBy(F.col("p1").alias("f1"), F.col("p2").alias("f2")).agg(F.flatten(F.collect_list("gone")).alias("gone"))
+        scratch = [*scratch, pieces]
+    else:
+        strings = saved(each.mapInArrow(_strings(length), "w1 long, w2 long, f1 long, f2 long, start int, n long"), "strings")
+        again = saved(strings.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2"), "again")
+        starts = strings.join(again, ["w1", "w2"], "left_semi").groupBy("f1", "f2").agg(F.collect_list("start").alias("s"))
+        more = starts.select("f1", "f2", F.flatten(F.transform("s", lambda x: F.array(x, x))).alias("gone"))
+        scratch = [strings, again]
+    more = saved(more, "verdicts")
+    return verdicts.unionByName(more), [hot, verdicts, more, *scratch]
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, texts: bool = False) -> DataFrame:
     """For each document: its id, n_bytes, n_removed, n_spans and kept_sha256; with texts also the kept bytes.
 
@@ -317,21 +369,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     side = seeds.join(twice, "seed", "left_semi").select("seed", "shard").distinct()
     frags = saved(beside(ours.select("text", "shard"), side, n, _fragments(length), "seed long, f1 long, f2 long, shard int, n long, body binary"), "fragments")
     dropped(seeds)
-    hot = saved(frags.groupBy("seed").count().filter(F.col("count") > HOT_ROWS).select("seed"), "hot")
-    n_hot = hot.count()
-    hint = F.broadcast(hot) if n_hot <= BROADCAST_SEEDS else hot
-    cold = frags.join(hint, "seed", "left_anti") if n_hot else frags
-    cold = cold.select("seed", "f1", "f2", "n", "body").repartition(n, "seed").sortWithinPartitions("seed")
-    verdicts = saved(cold.mapInArrow(_verdicts(length), "f1 long, f2 long, gone array<int>"), "verdicts")
-    scratch = [hot, verdicts]
-    if n_hot:
-        each = frags.join(hint, "seed", "left_semi").groupBy("f1", "f2").agg(F.sum("n").alias("n"), F.first("body").alias("body"))
-        strings = saved(each.mapInArrow(_strings(length), "w1 long, w2 long, f1 long, f2 long, start int, n long"), "strings")
-        again = saved(strings.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2"), "again")
-        starts = strings.join(again, ["w1", "w2"], "left_semi").groupBy("f1", "f2").agg(F.sort_array(F.collect_list("start")).alias("s"))
-        more = saved(starts.select("f1", "f2", F.flatten(F.transform("s", lambda x: F.array(x, x))).alias("gone")), "verdicts")
-        verdicts = verdicts.unionByName(more)
-        scratch += [strings, again, more]
+    verdicts, scratch = _judged(frags, n, length, LEVELS)
     side = saved(frags.select("f1", "f2", "shard").distinct().join(verdicts, ["f1", "f2"]).select("f1", "f2", "gone", "shard"), "gone")
     dropped(frags, *scratch)
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
