@@ -74,10 +74,14 @@ def parts(df: DataFrame, per: int = SHARD_BYTES) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, math.ceil(plan_bytes(df) / per)))
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Columns id, text and shard: a number below n that depends on the row alone. Other columns are left out, so their names can't clash."""
+def dealt(docs: DataFrame, id_col: str, text_col: str, n: int, carry: bool = False) -> DataFrame:
+    """Columns id, text and shard: a number below n that depends on the row alone. Other columns are left out, so their names can't clash.
+
+    With carry, the whole row is in column row.
+    """
     text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.length(text)), F.lit(n)).cast("int").alias("shard"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    return docs.select(*row, F.col(id_col).alias("id"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.length(text)), F.lit(n)).cast("int").alias("shard"))
 
 
 def beside(docs: DataFrame, side: DataFrame, n: int, fn: Callable, schema: str) -> DataFrame:

@@ -33,6 +33,8 @@ SPARE = 0.06
 BLOCK = 1024
 #: Representatives that may be broadcast to fetch their documents; beyond, they are joined by a shuffle.
 BROADCAST_CLASSES = 250_000
+#: Ids of documents to drop that may be broadcast.
+BROADCAST_DROPS = 500_000
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -311,3 +313,17 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     release(spark)
     out = every.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("comp")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each group of linked ones: that with the smallest id. Documents without words stay; of rows with equal id and text one stays."""
+    found = saved(ngram_components(docs, id_col, text_col, **options), "components")
+    drop = saved(found.filter((F.col("n_shingles") > 0) & ~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_drop")).distinct(), "drop")
+    n_drop = drop.count()
+    side = F.broadcast(drop) if n_drop <= BROADCAST_DROPS else drop
+    kept = docs.join(side, F.col(id_col).eqNullSafe(F.col("_drop")), "left_anti")
+    twice = found.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_twice"))
+    if not twice.isEmpty():
+        same = F.col(id_col).eqNullSafe(F.col("_twice"))
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return kept

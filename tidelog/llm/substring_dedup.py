@@ -34,6 +34,7 @@ PHRASE = 8
 SYMBOLS = 3
 #: Most phrases in one automaton; a shard with more gets several.
 AUTOMATON_PHRASES = 200_000
+TEXTS = ", kept_text string, removed array<struct<first:int,after:int>>"
 
 
 def _hashed(data, off):
@@ -129,7 +130,7 @@ def occurrences(machines: list, text: str) -> np.ndarray:
     return ends[ends % SYMBOLS == 0] // SYMBOLS - 1
 
 
-def _removed(window: int, texts_too: bool):
+def _removed(window: int, texts_too: bool, carried: str = "id"):
     k = _phrase_len(window)
 
     def run(side, docs):
@@ -142,7 +143,7 @@ def _removed(window: int, texts_too: bool):
         confirmed = tn.Pairs(np.concatenate(w), np.concatenate(seed))
         machines = automata(sorted(phrases))
         for b in docs:
-            ids = b.column("id")
+            ids = b.column(carried)
             for lo, hi, data, off in tn.texts(b.column("text")):
                 h, first = _hashed(data, off)
                 n = int(first[-1])
@@ -173,9 +174,9 @@ def _removed(window: int, texts_too: bool):
                     kept = b" ".join(each)
                     kept_hash.append(hashlib.sha256(kept).hexdigest())
                     if texts_too:
-                        kept_text.append(kept.decode("utf-8", "replace"))
+                        kept_text.append(kept.decode("utf-8", "replace") if removed[d + 1] > removed[d] else None)
                 cols = [ids.slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), pa.array(np.diff(removed).astype(np.int64)), pa.array(kept_hash, pa.string())]
-                names = ["id", "n_words", "n_removed", "kept_sha256"]
+                names = [carried, "n_words", "n_removed", "kept_sha256"]
                 if texts_too:
                     cols += [pa.array(kept_text, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())])))]
                     names += ["kept_text", "removed"]
@@ -185,15 +186,34 @@ def _removed(window: int, texts_too: bool):
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = False) -> DataFrame:
-    """For each document: its id, n_words, n_removed and kept_sha256; with texts also kept_text and the removed word spans.
+    """For each document: its id, n_words, n_removed and kept_sha256; with texts also kept_text (null: nothing removed) and the removed word spans.
 
     A word is removed if any window of `window` words that covers it also starts anywhere else in the corpus, same document included.
     """
+    ours, side, n = _confirmed(docs, id_col, text_col, window)
+    schema = f"id {ours.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + TEXTS * texts
+    return beside(ours, side, n, _removed(window, texts), schema).withColumnRenamed("id", id_col)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", window: int = WINDOW) -> DataFrame:
+    """docs with the words of recurring passages removed from their texts; texts without any stay as they are, and so do rows and other columns.
+
+    size_col, where there is such a column, gets the new text's length.
+    """
+    ours, side, n = _confirmed(docs, id_col, text_col, window, carry=True)
+    row = ours.schema["row"].dataType.simpleString()
+    out = beside(ours.drop("id"), side, n, _removed(window, True, "row"), f"row {row}, n_words long, n_removed long, kept_sha256 string" + TEXTS)
+    text = F.coalesce("kept_text", F.col("row")[text_col])
+    new = {text_col: text} | ({size_col: F.when(F.col("kept_text").isNull(), F.col("row")[size_col]).otherwise(F.length(text)).cast(docs.schema[size_col].dataType)} if size_col in docs.columns else {})
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
+def _confirmed(docs: DataFrame, id_col: str, text_col: str, window: int, carry: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """Dealt documents, the confirmed phrases and windows of each shard, and the number of shards."""
     spark = docs.sparkSession
     tuned(spark)
     n = parts(docs.select(id_col, text_col))
-    ours = dealt(docs, id_col, text_col, n)
-    kind = ours.schema["id"].dataType.simpleString()
+    ours = dealt(docs, id_col, text_col, n, carry)
     seeds = saved(ours.select("text", "shard").mapInArrow(_seeds(window), "seed long, shard int"), "seeds")
     twice = seeds.groupBy("seed").count().filter("count > 1").select("seed")
     side = seeds.distinct().join(twice, "seed", "left_semi").select("seed", "shard")
@@ -206,6 +226,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     confirmed = each.filter("n > 1").select("seed", "f", "w").unionByName(parts_of)
     side = saved(found.select("seed", "f", "shard", "phrase").join(confirmed, ["seed", "f"]).select("seed", "phrase", "w", "shard"), "confirmed")
     dropped(found, each, again)
-    schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, removed array<struct<first:int,after:int>>" * texts
-    return beside(ours, side, n, _removed(window, texts), schema).withColumnRenamed("id", id_col)
-
+    return ours, side, n
