@@ -16,13 +16,12 @@ Results: null text is empty and has the end id alone. Repeated ids stay next to
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import uuid
 import zlib
 from bisect import bisect_right
-from collections import ChainMap
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +37,8 @@ BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 MAGIC = b"TLSSTBL1"
 FOOTER = struct.Struct("<QQQQQIQQ8s")
 ENTRY, INDEX = struct.Struct("<HHI"), struct.Struct("<QII")
-#: Words whose ids a worker remembers, the longest of them, and how many are tokenized in one call.
-CACHE_WORDS, CACHE_LENGTH, CALL_WORDS = 500_000, 40, 2000
-#: Texts in which white space stands alone come apart into words with their leading space and line ends; others are tokenized whole.
-_WHOLE = re.compile(r"\s\s|\A\s|\s\Z|\0")
+#: Words in each of the two generations whose ids a worker remembers, the longest of them, and how many are tokenized in one call.
+CACHE_WORDS, CACHE_LENGTH, CALL_WORDS = 600_000, 40, 1000
 
 
 def default_tokenizer() -> str:
@@ -50,55 +47,128 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models have for each byte: printable Latin-1 as it is, others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
-    """The tokenizer, with the ids of words remembered: where white space stands alone, its pieces never reach over the start of a word."""
+    """The tokenizer, with the ids of words remembered: where white space stands alone, its pieces never reach over the start of a word.
+
+    Words are known by themselves when a space comes before, after LINE when a line end does, after TEXT at the start of a text. Texts with empty lines,
+    or with white space beside a space or after a line's end, are tokenized whole.
+    """
+
+    LINE, TEXT = "\n", "\0"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.line_end = self._ids(["\n"])[0]
+        # words of letters are one piece each: the model gets them with no search for pieces, in its letters for bytes
+        self.table = _byte_letters()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Split(self.table[10], "isolated")
+        self.line_end, *marks = self.ids(["\n", ".", ","])
+        self.marks = dict(zip(".,", marks, strict=True))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Many words in one call, on a line each; the ids come apart at the line ends."""
+    def lines(self, words: list[str], letters: bool = False) -> list[bytes]:
+        """Many words in one call, on a line each; the ids come apart at the line ends. letters: words of a space and letters only."""
         if len(self.line_end) != 2:
-            return self._ids(words)
-        ids = np.frombuffer(self._ids(["\n".join(words)])[0], "<u2")
+            return self.ids(words)
+        text = "\n".join(words)
+        if letters:
+            ids = np.array(self.model.encode_batch_fast([text.encode().decode("latin-1").translate(self.table)], add_special_tokens=False)[0].ids, "<u2")
+        else:
+            ids = np.frombuffer(self.ids([text])[0], "<u2")
         cut = np.flatnonzero(ids == np.frombuffer(self.line_end, "<u2")[0])
         if len(cut) != len(words) - 1:
-            return self._ids(words)
+            return self.ids(words)
         raw, begin, end = ids.tobytes(), [0, *(2 * cut + 2).tolist()], [*(2 * cut).tolist(), 2 * len(ids)]
         return [raw[i:j] for i, j in zip(begin, end, strict=True)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """u16 ids of each text."""
+    def _plain(self, word: str) -> str:
+        return word[1:] if word[0] in (self.LINE, self.TEXT) else " " + word
+
+    def learn(self, words: set[str]) -> None:
+        """Adds words that aren't known; those of the older generation come back from there."""
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known, split, whole, new = self.known, [], {}, set()
-        for i, text in enumerate(texts):
-            if _WHOLE.search(text):
-                whole[i] = text
-                split.append(None)
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        fresh, ended = set(), []
+        for w in words:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            elif w[-1] in ".," and w[-2:-1].isalpha():
+                ended.append(w)  # the mark is a piece of its own
+                stem = w[:-1]
+                if stem in older:
+                    known[stem] = older[stem]
+                elif stem not in known:
+                    fresh.add(stem)
             else:
-                words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-                new.update(words)
-                split.append(words)
-        new.difference_update(known)
-        new.discard("\n")
-        fresh, ids = sorted(new), {"\n": self.line_end, "": b""}
-        for i in range(0, len(fresh), CALL_WORDS):
-            some = fresh[i : i + CALL_WORDS]
-            ids.update(zip(some, self._words(some), strict=True))
-        known.update((w, b) for w, b in ids.items() if len(w) <= CACHE_LENGTH)
-        long = {w: b for w, b in ids.items() if len(w) > CACHE_LENGTH}
-        look = ChainMap(long, known).__getitem__ if long else known.__getitem__
-        rest = dict(zip(whole, self._ids(list(whole.values())), strict=True))
-        return [rest[i] if words is None else b"".join(map(look, words)) for i, words in enumerate(split)]
+                fresh.add(w)
+        todo = [w for w in fresh if w.isalpha()]
+        for i in range(0, len(todo), CALL_WORDS):
+            some = todo[i : i + CALL_WORDS]
+            known.update(zip(some, self.lines([" " + w for w in some], letters=True), strict=True))
+        todo = [w for w in fresh if not w.isalpha()]
+        for i in range(0, len(todo), CALL_WORDS):
+            some = todo[i : i + CALL_WORDS]
+            ids = self.lines([self._plain(w) for w in some])
+            known.update((w, self.line_end + x if w[0] == self.LINE else x) for w, x in zip(some, ids, strict=True))
+        for w in ended:
+            known[w] = known[w[:-1]] + self.marks[w[-1]]
+
+    def _keys(self, text: str) -> list[str] | None:
+        keys: list[str] = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            if "" in words or words[0][0].isspace() or self.TEXT in line:
+                return None
+            words[0] = self.LINE + words[0]
+            keys += words
+        keys[0] = self.TEXT + keys[0][1:]
+        return keys
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """u16 ids of each text."""
+        split = [self._keys(t) for t in texts]
+        whole = iter(self.ids([t for t, keys in zip(texts, split, strict=True) if keys is None]))
+        found = [next(whole) if keys is None else list(map(self.known.get, keys)) for keys in split]
+        gaps: list[tuple[list, list, list[int]]] = []
+        new: set[str] = set()
+        for keys, ids in zip(split, found, strict=True):
+            if keys is not None and None in ids:
+                at, i = [], -1
+                for _ in range(ids.count(None)):
+                    i = ids.index(None, i + 1)
+                    at.append(i)
+                    new.add(keys[i])
+                gaps.append((keys, ids, at))
+        self.learn(new)
+        for keys, ids, at in gaps:
+            for i in at:
+                ids[i] = self.known[keys[i]]
+        for w in new:
+            if len(w) > CACHE_LENGTH:
+                self.known.pop(w, None)
+                self.known.pop(w[:-1], None)
+        return [x if isinstance(x, bytes) else b"".join(x) for x in found]
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each worker process: it and what it remembers serve all of the worker's tasks."""
+    return Encoder(path)
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -253,7 +323,7 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
