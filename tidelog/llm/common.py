@@ -20,6 +20,8 @@ SHARD_BYTES = 64 << 20
 #: Rows and bytes of one Arrow batch, so that a batch of long documents stays small.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
+#: Estimates from here on mean that Catalyst doesn't know.
+UNKNOWN_BYTES = 1 << 60
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -70,8 +72,12 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def parts(df: DataFrame, per: int = SHARD_BYTES) -> int:
-    """Partitions to deal df into: the session's number, or more where that would make them larger than per."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, math.ceil(plan_bytes(df) / per)))
+    """Partitions to deal df into: the session's number, or more where that would make them larger than per. What has no estimate is summed up."""
+    size = plan_bytes(df)
+    if size >= UNKNOWN_BYTES:
+        strings = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+        size = sum(df.agg(*strings).first()) if strings else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, math.ceil(size / per)))
 
 
 def dealt(docs: DataFrame, id_col: str, text_col: str, n: int, carry: bool = False) -> DataFrame:
