@@ -332,6 +332,30 @@ def q_timer_catchup(spark, d):
     return timers.catch_up(_timers(spark, d).filter(F.col("due") > NOW - 600_000_000), NOW, every=True)
 
 
+@query(name="p_rate_limit")
+def p_rate_limit(spark, d):
+    """Events as calls, a hundred days in one second's scale, so that buckets run dry."""
+    ev = read_table(spark, d, "events")
+    calls = ev.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e9).alias("at"), F.col("event_id").alias("n"))
+    return timers.rate_limited(calls, ["user_id"], rate=0.01, burst=3.0)
+
+
+query(LOG + "select lsn, op, user_id from log where lsn > 800", "p_log_read")(lambda s, d: events_log(s, d).filter("lsn > 800").select("lsn", "op", "user_id"))
+query(TIMER + f"select id, due from due where due <= {NOW} - 3000000000", "p_timer_dispatch")(lambda s, d: timers.dispatch_order(_timers(s, d), NOW - 3_000_000_000).select("id", "due"))
+
+
+@query(BATCH + "select o_orderkey, seq, case when row_number() over (partition by o_orderkey order by seq) > 1 or o_orderkey in (select o_orderkey from orders) then 2 else 1 end as op from batch")
+def q_upsert_ops(spark, d):
+    return changelog.upsert_ops(read_table(spark, d, "orders").select("o_orderkey"), _batch(spark, d), ["o_orderkey"], "seq").select("o_orderkey", "seq", "op")
+
+
+@query("select event_id, (user_id % 10 = 3)::int as moved, case when user_id % 10 = 3 then 77 else user_id end as shard from events where user_id % 10 = 3", "p_handoff")
+def p_handoff(spark, d):
+    rows = read_table(spark, d, "events").select("event_id", F.col("user_id").alias("shard"))
+    done = spark.createDataFrame([("other",)], "handoff string")
+    return shards.handoff(rows, F.col("shard") % 10 == 3, "shard", 77, "h1", done).select("event_id", F.lit(1).alias("moved"), "shard")
+
+
 # visibility
 @query("select o_orderkey, o_custkey from orders where o_orderstatus = 'F' or o_custkey = 7")
 def q_row_policy_union(spark, d):
