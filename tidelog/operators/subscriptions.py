@@ -46,12 +46,12 @@ def deltas(log: DataFrame, keys: list[str], shown: Shown, columns: list[str] | N
 def fanout(log: DataFrame, subscriptions: DataFrame, keys: list[str]) -> DataFrame:
     """All deltas of many subscriptions of the form column value: the log meets only subscriptions to its table, on table and value.
 
-    log has a table column and `value`; subscriptions: sub, table, value.
+    log has `value` and, where keys name it, table; subscriptions: sub, value and table likewise. Spark broadcasts them while they are small.
     """
     old = preimages(log, keys)
     was = old.filter(F.col("old_op").isin(INSERT, UPDATE)).select("lsn", "ordinal", *keys, F.col("old.value").alias("value"), F.lit(1).alias("was"), F.lit(0).alias("now"))
     now = old.filter(F.col("op") != DELETE).select("lsn", "ordinal", *keys, "value", F.lit(0).alias("was"), F.lit(1).alias("now"))
-    sides = was.unionByName(now).join(F.broadcast(subscriptions) if isinstance(subscriptions, DataFrame) else subscriptions, [*(["table"] if "table" in keys else []), "value"])
+    sides = was.unionByName(now).join(subscriptions, [*(["table"] if "table" in keys else []), "value"])
     both = sides.groupBy("sub", "lsn", "ordinal", *keys).agg(F.max("was").alias("was"), F.max("now").alias("now"))
     return both.select("sub", "lsn", "ordinal", *keys, F.when(F.col("now") == 0, DELETE).when(F.col("was") == 1, UPDATE).otherwise(INSERT).alias("delta"))
 
