@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import textnp as tn
 from tidelog.llm.common import held_out, tuned
 
-SAMPLE = 2000
+SAMPLE = 1200
 #: Clean documents are sampled more, up to so many times SAMPLE.
 CLEAN = 2
 STRETCH = 100
