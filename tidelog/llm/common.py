@@ -125,6 +125,16 @@ def beside(docs: DataFrame, side: DataFrame, n: int, fn: Callable, schema: str)
     return both.repartitionById(n, F.col("shard")).sortWithinPartitions(tag).mapInArrow(run, schema)
 
 
+def trimmed(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn for mapInArrow, with freed memory given back at the end of each task: the worker may idle beside the next operator's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        trim()
+
+    return run
+
+
 def held_out(doc_id: Column, mod: int) -> Column:
     """Whether crc32 of the id as text leaves the remainder 2; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod)) == 2

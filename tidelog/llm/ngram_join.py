@@ -15,15 +15,13 @@ are compared without nulls. Empty tables give empty results; other columns are i
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textnp as tn
-from tidelog.llm.common import dropped, parts, release, saved, tuned
+from tidelog.llm.common import dropped, parts, release, saved, trimmed, tuned
 
 WORDS = 5
 PERCENT = 80
@@ -281,7 +279,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tuned(spark)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind, n_parts = narrow.schema["id"].dataType.simpleString(), parts(narrow)
-    every = saved(narrow.mapInArrow(_prefixes(words, percent), f"id {kind}, n long, s1 long, s2 long, pre array<long>"), "sets")
+    every = saved(narrow.mapInArrow(trimmed(_prefixes(words, percent)), f"id {kind}, n long, s1 long, s2 long, pre array<long>"), "sets")
     classes = every.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("pre").alias("pre"))
     classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     tokens = classes.select("cls", F.explode("pre").alias("t"))
@@ -297,13 +295,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dropped(met)
     n_wanted = wanted.count()
     side = F.broadcast(wanted) if n_wanted <= BROADCAST_CLASSES else wanted
-    sets = narrow.join(side, F.col("id").eqNullSafe(F.col("rep"))).select("cls", "s1", "s2", "text").mapInArrow(_whole_sets(words), "cls long, tokens array<long>")
+    sets = narrow.join(side, F.col("id").eqNullSafe(F.col("rep"))).select("cls", "s1", "s2", "text").mapInArrow(trimmed(_whole_sets(words)), "cls long, tokens array<long>")
     sets = saved(sets, "whole")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("cls"), F.col("m")).cast("int")
     tasks = homes.withColumn("m", blocks).withColumn("b", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("cls", "bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     groups = tasks.join(sets, "cls").repartition(n_parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    edges = saved(groups.mapInArrow(_edges(percent), "u long, v long"), "edges")
+    edges = saved(groups.mapInArrow(trimmed(_edges(percent)), "u long, v long"), "edges")
     dropped(sets, homes, wanted)
     roots = components(edges)
     least = roots.join(classes.select(F.col("cls").alias("node"), "rep"), "node")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textnp as tn
-from tidelog.llm.common import beside, dealt, dropped, parts, saved, tuned
+from tidelog.llm.common import beside, dealt, dropped, parts, saved, trimmed, tuned
 
 WINDOW = 35
 PHRASE = 8
@@ -214,7 +214,7 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, window: int, carry:
     tuned(spark)
     n = parts(docs.select(id_col, text_col))
     ours = dealt(docs, id_col, text_col, n, carry)
-    seeds = saved(ours.select("text", "shard").mapInArrow(_seeds(window), "seed long, shard int"), "seeds")
+    seeds = saved(ours.select("text", "shard").mapInArrow(trimmed(_seeds(window)), "seed long, shard int"), "seeds")
     twice = seeds.groupBy("seed").count().filter("count > 1").select("seed")
     side = seeds.distinct().join(twice, "seed", "left_semi").select("seed", "shard")
     found = saved(beside(ours.select("text", "shard"), side, n, _fragments(window), "seed long, f long, shard int, n long, phrase string, w array<long>"), "fragments")

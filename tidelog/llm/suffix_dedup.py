@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textnp as tn
-from tidelog.llm.common import beside, dealt, dropped, parts, saved, tuned
+from tidelog.llm.common import beside, dealt, dropped, parts, saved, trimmed, tuned
 
 LENGTH = 200
 SEED = 40
@@ -364,7 +364,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = parts(docs.select(id_col, text_col))
     ours = dealt(docs, id_col, text_col, n)
     kind = ours.schema["id"].dataType.simpleString()
-    seeds = saved(ours.select("text", "shard").mapInArrow(_seeds(length), "seed long, shard int, n long"), "seeds")
+    seeds = saved(ours.select("text", "shard").mapInArrow(trimmed(_seeds(length)), "seed long, shard int, n long"), "seeds")
     twice = seeds.groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed")
     side = seeds.join(twice, "seed", "left_semi").select("seed", "shard").distinct()
     frags = saved(beside(ours.select("text", "shard"), side, n, _fragments(length), "seed long, f1 long, f2 long, shard int, n long, body binary"), "fragments")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textnp as tn
-from tidelog.llm.common import held_out, tuned
+from tidelog.llm.common import held_out, trimmed, tuned
 
 SAMPLE = 1200
 #: Clean documents are sampled more, up to so many times SAMPLE.
@@ -298,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score_texts(field: Field, texts: pa.Array):
     """Yields first row, row after the last, scores and offending byte spans of each slice."""
-    for lo, hi, data, off in tn.texts(texts, 2 << 20):
+    for lo, hi, data, off in tn.texts(texts):
         start, end, first, word, head = tokens(data, off)
         at, prob, begin = marginals(field, word, head, first)
         x = evidence(prob, begin)
@@ -325,7 +325,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     kind = narrow.schema["id"].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, score double, predicted int" + ", spans array<struct<start:bigint,end:bigint>>" * spans
-    return narrow.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(trimmed(run), schema).withColumnRenamed("id", id_col)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -339,4 +339,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             keep = [score < threshold for _, _, score, _ in score_texts(field, b.column(i))]
             yield b.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
