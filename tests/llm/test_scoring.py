@@ -273,9 +273,11 @@ def test_decontamination(spark):
 def test_decontamination_in_several_tables(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "SIDE_BYTES", 100)
     bench = spark.createDataFrame([(i, " ".join(f"q{i}x{k}" for k in range(12))) for i in range(8)], "item_id long, text string")
-    assert len(decontamination.item_tables(bench, "item_id", "text")) > 1
+    assert len(list(decontamination.item_tables(bench, "item_id", "text"))) > 1
     df = spark.createDataFrame([(i, f"some words and {' '.join(f'q{i}x{k}' for k in range(12))} more") for i in range(8)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["item_ids"]) for r in decontamination.contaminated(df, bench).collect()) == [(i, [i]) for i in range(8)]
+    clean = spark.createDataFrame([(99, "nothing of the kind")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontamination.without_contaminated(df.unionByName(clean), bench).collect()] == [99]
 
 
 def test_sql_oracles(spark):

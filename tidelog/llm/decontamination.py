@@ -5,7 +5,8 @@ the picked places make a hit whatever stands at the others, so substituted words
 and joined with those of the documents; a hit fixes the alignment of document and item. Along it, every stretch of WINDOW words (the whole item if it
 is shorter) with at least `percent` equal words is an overlap. The masks let no such stretch without a hit when substitutions leave one mask's places whole.
 
-The items' hashes are sent to all tasks if they take at most SIDE_BYTES, and otherwise are dealt by their hash into tables that fit, each a pass over the documents.
+The items are sent to all tasks if their texts take at most SIDE_BYTES. Otherwise they are dealt by a hash into tables that do, each a pass over the
+documents of its own, written before the next, so that neither driver nor task ever holds more than one.
 
 Results: null or wordless documents and items have no overlap; items of fewer than MIN_WORDS words are left out as too short to tell. Repeated rows get equal
 results. Empty tables give empty results or no overlaps; other columns are ignored.
@@ -13,13 +14,15 @@ results. Empty tables give empty results or no overlaps; other columns are ignor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textnp as tn
-from tidelog.llm.common import tuned
+from tidelog.llm.common import saved, trimmed, tuned
 
 #: Places that a mask compares (1) and ignores (0); the last compares all.
 MASKS = ("11010011", "10110101", "110111", "11111")
@@ -119,61 +122,67 @@ def _collected(benchmark: DataFrame, item_col: str, text_col: str) -> pa.Table:
     return benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).toArrow()
 
 
-def item_tables(benchmark: DataFrame, item_col: str, text_col: str) -> list[Items]:
-    """The items in tables of at most SIDE_BYTES of text each."""
+def item_tables(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[Items, bool]]:
+    """The items in tables of about SIDE_BYTES of text each, one at a time on the driver, and whether it is the last."""
     size = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = -(-size // SIDE_BYTES) or 1
-    out = []
     for k in range(n):
-        part = benchmark if n == 1 else benchmark.filter(F.pmod(F.xxhash64(text_col), F.lit(n)) == k)
+        part = benchmark if n == 1 else benchmark.filter(F.pmod(F.xxhash64(text_col, item_col), F.lit(n)) == k)
         table = _collected(part, item_col, text_col).sort_by("item")
-        out.append(Items(table.column("item").to_pylist(), table.column("text")))
-    return out
-
-
-def _batches_overlaps(tables: list, texts, window: int, percent: int):
-    """For each slice: first row, row after the last and the overlaps with all tables."""
-    for lo, hi, data, off in tn.texts(texts):
-        _, _, first, h = plain_words(data, off)
-        yield lo, hi, [(d, t.ids[item], a, z, n) for t in tables for d, item, a, z, n in t.overlaps(h, first, window, percent)]
+        yield Items(table.column("item").to_pylist(), table.column("text")), k == n - 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
-    """For each document: its id, contaminated, the ids of the items it overlaps, ascending, and the overlaps."""
+    """For each document: its id, contaminated, the ids of the items it overlaps, ascending, and the overlaps in words."""
     spark = docs.sparkSession
     tuned(spark)
-    tables = [spark.sparkContext.broadcast(t) for t in item_tables(benchmark, item_col, item_text)]
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     span = pa.struct([("item_id", pa.int64()), ("first", pa.int64()), ("after", pa.int64()), ("equal", pa.int64())])
-
-    def run(batches):
-        for b in batches:
-            for lo, hi, found in _batches_overlaps([t.value for t in tables], b.column("text"), window, percent):
-                spans: list[list[dict]] = [[] for _ in range(hi - lo)]
-                for d, item, a, z, n in found:
-                    spans[d].append({"item_id": item, "first": a, "after": z, "equal": n})
-                for s in spans:
-                    s.sort(key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["first"], x["after"]))
-                items = [sorted({x["item_id"] for x in s if x["item_id"] is not None}) for s in spans]
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array([bool(s) for s in spans]), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(span))], names=["id", "contaminated", "item_ids", "overlaps"])
-
-    kind = narrow.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, contaminated boolean, item_ids array<bigint>, overlaps array<struct<item_id:bigint,first:bigint,after:bigint,equal:bigint>>"
-    return narrow.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    spans = "array<struct<item_id:bigint,first:bigint,after:bigint,equal:bigint>>"
+    now = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast(spans).alias("overlaps"))
+    kind = now.schema["id"].dataType.simpleString()
+
+    def pass_over(table, last: bool):
+        def run(batches):
+            for b in batches:
+                for lo, hi, data, off in tn.texts(b.column("text")):
+                    _, _, first, h = plain_words(data, off)
+                    found: list[list[dict]] = b.column("overlaps").slice(lo, hi - lo).to_pylist()
+                    for d, item, x, y, n in table.value.overlaps(h, first, window, percent):
+                        found[d].append({"item_id": table.value.ids[item], "first": x, "after": y, "equal": n})
+                    cols = [b.column("id").slice(lo, hi - lo), pa.array(found, pa.list_(span))]
+                    names = ["id", "overlaps"]
+                    if not last:
+                        cols.append(b.column("text").slice(lo, hi - lo))
+                        names.append("text")
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+
+        return trimmed(run)
+
+    for items, last in item_tables(benchmark, item_col, item_text):
+        out = now.mapInArrow(pass_over(spark.sparkContext.broadcast(items), last), f"id {kind}, overlaps {spans}" + ", text string" * (not last))
+        now = out if last else saved(out, "overlaps")
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform("overlaps", lambda x: x["item_id"]), lambda x: x.isNotNull())))
+    return now.select(F.col("id").alias(id_col), (F.size("overlaps") > 0).alias("contaminated"), ids.alias("item_ids"), F.array_sort("overlaps").alias("overlaps"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
     """docs without the rows that overlap an item; rows and columns stay as they are."""
     spark = docs.sparkSession
     tuned(spark)
-    tables = [spark.sparkContext.broadcast(t) for t in item_tables(benchmark, item_col, item_text)]
     i = docs.columns.index(text_col)
 
-    def run(batches):
-        for b in batches:
-            keep = np.ones(len(b), bool)
-            for lo, _, found in _batches_overlaps([t.value for t in tables], b.column(i), window, percent):
-                keep[[lo + x[0] for x in found]] = False
-            yield b.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    def pass_over(table):
+        def run(batches):
+            for b in batches:
+                keep = np.ones(len(b), bool)
+                for lo, _, data, off in tn.texts(b.column(i)):
+                    _, _, first, h = plain_words(data, off)
+                    keep[[lo + x[0] for x in table.value.overlaps(h, first, window, percent)]] = False
+                yield b.filter(pa.array(keep))
+
+        return trimmed(run)
+
+    for items, last in item_tables(benchmark, item_col, item_text):
+        out = docs.mapInArrow(pass_over(spark.sparkContext.broadcast(items)), docs.schema)
+        docs = out if last else saved(out, "clean")
+    return docs
