@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textnp as tn
-from tidelog.llm.common import beside, dealt, dropped, held_out, parts, saved, tuned
+from tidelog.llm.common import beside, dealt, dropped, held_out, parts, saved, trimmed, tuned
 
 TOP, CLASSES = 1023, 32
 HIDDEN = EMBED = 16
@@ -296,11 +296,14 @@ def _unpack(raw: np.ndarray, like: dict) -> dict:
 
 
 def train(docs: DataFrame, v: Vocabulary, stride: int = STRIDE, seed_docs: int = SEED_DOCS) -> dict:
-    """Averaged weights. docs: text of the training documents."""
+    """Averaged weights. docs: id and text of the training documents."""
     w = start_weights(v)
     if not v.size:
         return w
-    seed = docs.withColumn("_lot", F.xxhash64("text")).orderBy("_lot").limit(seed_docs).select("text").toArrow()
+    # lots first, then the texts that drew the least: a task that sorts lots of all shards sees no text
+    lots = docs.select(F.xxhash64("id", "text").alias("lot"), "text")
+    last = lots.select("lot").orderBy("lot").limit(seed_docs).agg(F.max("lot")).first()[0]
+    seed = lots.filter(F.col("lot") <= F.lit(last)).limit(2 * seed_docs).toArrow().sort_by("lot")
     first_trainer = Trainer(w, v, 0.01)
     for _, _, data, off in tn.texts(seed.column("text")):
         h, first = tokens(data, off)
@@ -331,7 +334,7 @@ def train(docs: DataFrame, v: Vocabulary, stride: int = STRIDE, seed_docs: int =
             yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())], names=["n", "w"])
 
     schema = "n double, w binary"
-    rows = docs.mapInArrow(run, schema).repartition(AVERAGED).mapInArrow(summed, schema).collect()
+    rows = docs.select("text").mapInArrow(trimmed(run), schema).repartition(AVERAGED).mapInArrow(summed, schema).collect()
     weight = sum(r["n"] for r in rows)
     return _unpack(sum(np.frombuffer(r["w"], "<f4").astype(np.float64) * (r["n"] / weight) for r in sorted(rows, key=lambda r: (r["n"], bytes(r["w"])))), w) if rows else w
 
@@ -348,7 +351,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
     top = [tuple(r) for r in counts.orderBy(F.desc("c"), "w").limit(TOP + 1).collect()]
     v = vocabulary(top, total, distinct)
-    w = train(ours.filter(~F.col("held_out")).select("text"), v)
+    w = train(ours.filter(~F.col("held_out")).select("id", "text"), v)
     side = saved(pairs.select("w", "shard").join(counts, "w", "left").select("w", F.coalesce("c", F.lit(0)).alias("c"), "shard"), "known")
     dropped(pairs, counts)
     tail_words = distinct - v.size
