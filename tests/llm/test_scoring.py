@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidelog.llm import decontamination, quality, recurrent_lm, toxicity, url_filter
@@ -205,6 +206,40 @@ def test_probabilities_sum_to_one_and_state_is_carried():
         assert np.isclose(out, together[d], rtol=1e-4)
 
 
+def test_training_takes_every_window_and_carries_the_state():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d"], int(n))) for n in [*rng.integers(0, 150, 40), 900]]
+    v = recurrent_lm.vocabulary([(int(x), 50 - i) for i, x in enumerate(np.unique(recurrent_lm.tokens(*column_bytes(texts))[0]).view(np.int64))], 1000, 9)
+
+    class Seen(recurrent_lm.Trainer):
+        docs, open_docs = [], {}
+
+        def batch(self, inputs, targets, before=None):
+            assert len(inputs) <= 3
+            after = np.zeros((len(inputs), recurrent_lm.HIDDEN), np.float32)
+            for i, (x, y) in enumerate(zip(inputs, targets, strict=True)):
+                key = float(before[i, 0])
+                assert (x[0] == v.size) == (key == 0)  # an empty state exactly where a document begins
+                doc = self.open_docs.pop(key, [])
+                doc.extend(y[y >= 0].tolist())
+                self.t += 1
+                after[i] = self.t
+                (self.docs.append(doc) if doc[-1] == end else self.open_docs.update({float(self.t): doc}))
+            return after
+
+    h, first = recurrent_lm.tokens(*column_bytes(texts))
+    ids = v.id_of(h)
+    end = int(ids[-1])
+    trainer = Seen(recurrent_lm.start_weights(v), v, 0.01, 3)
+    recurrent_lm.train_on(trainer, [pa.array(texts[:17]), pa.array(texts[17:])])
+    assert not trainer.open_docs and sorted(trainer.docs) == sorted(ids[a:b].tolist() for a, b in itertools.pairwise(first))
+
+
+def column_bytes(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+
+
 def test_lm_counts_and_gain(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang").limit(300).unionByName(spark.createDataFrame([(None, None, "x"), (10**9, "", "w"), (10**9, "", "w")], "doc_id long, text string, lang string"))
     docs = spark.createDataFrame(docs.collect(), docs.schema)

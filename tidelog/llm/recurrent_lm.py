@@ -3,7 +3,7 @@
 1. Training words are counted over all documents that aren't held out. The TOP most frequent, the end mark among them, are the model's words, in classes of
    falling frequency; all others form the tail class, in which a word has its share (count + 1) / (tail tokens + tail words + 1).
 2. Weights start from the counts. The driver first trains on at most SEED_DOCS documents; then every shard trains from there by truncated backpropagation
-   on windows of all its training documents, one in STRIDE by a hash of document and place, and the shards' weights are averaged by their tokens.
+   on every window of all its training documents, the state carried from window to window, and the shards' weights are averaged by their tokens.
 3. Each shard gets the counts of its words beside its documents, and steps through all of them together; finished ones leave. Of the words' probabilities,
    P(class | state) * P(word | class, state), the logarithms sum up to the score.
 
@@ -26,9 +26,10 @@ from tidelog.llm.common import beside, dealt, dropped, held_out, parts, saved, t
 
 TOP, CLASSES = 1023, 32
 HIDDEN = EMBED = 16
-#: Input ids that tail words share by hash, and the width and batch of training windows.
-TAIL_INPUTS, WINDOW, BATCH = 64, 32, 64
-STRIDE = 12
+#: Input ids that tail words share by hash, and the width of training windows.
+TAIL_INPUTS, WINDOW = 64, 32
+#: Documents that the driver and a shard train on at a time.
+SEED_LANES, LANES = 64, 256
 SEED_DOCS = 1500
 MOD = 7
 END = tn.U(0x0123456789ABCDEF)
@@ -87,7 +88,7 @@ def start_weights(v: Vocabulary) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 def step(w: dict, xw: np.ndarray, h: np.ndarray):
@@ -102,89 +103,102 @@ def step(w: dict, xw: np.ndarray, h: np.ndarray):
 
 def log_probs(w: dict, v: Vocabulary, h: np.ndarray, ids: np.ndarray, grads: dict | None = None):
     """Natural log probability of each target given its state, for tail words that of the class; with grads also adds gradients and gives those of states."""
-    cls = np.searchsorted(v.bound, ids, "right") - 1
+    cls = (np.searchsorted(v.bound, np.arange(v.size + 1), "right") - 1).astype(np.uint8)[ids]
+    order = np.argsort(cls, kind="stable")
+    h, ids, cls = h[order], ids[order], cls[order]
+    cut = np.searchsorted(cls, np.arange(len(v.bound)))
     logits = h @ w["C"] + w["cb"]
     logits -= logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
+    rows = np.arange(len(ids))
+    out = logits[rows, cls]
+    e = np.exp(logits, out=logits)
     total = e.sum(axis=1)
-    out = logits[np.arange(len(ids)), cls] - np.log(total)
+    out -= np.log(total)
     if grads is not None:
-        d = e / total[:, None]
-        d[np.arange(len(ids)), cls] -= 1
-        grads["C"] += h.T @ d
-        grads["cb"] += d.sum(axis=0)
-        dh = d @ w["C"].T
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(len(v.bound)))
+        e /= total[:, None]
+        e[rows, cls] -= 1
+        grads["C"] += h.T @ e
+        grads["cb"] += e.sum(axis=0)
+        dh = e @ w["C"].T
     for k in range(len(v.bound) - 1):
-        at = order[cut[k] : cut[k + 1]]
-        if not len(at):
+        at = slice(int(cut[k]), int(cut[k + 1]))
+        if at.start == at.stop:
             continue
         a, b = int(v.bound[k]), int(v.bound[k + 1])
         logits = h[at] @ w["W"][a:b].T + w["wb"][a:b]
         logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
+        mine = rows[: at.stop - at.start], ids[at] - a
+        own = logits[mine]
+        e = np.exp(logits, out=logits)
         total = e.sum(axis=1)
-        mine = ids[at] - a
-        out[at] += logits[np.arange(len(at)), mine] - np.log(total)
+        out[at] += own - np.log(total)
         if grads is not None:
-            d = e / total[:, None]
-            d[np.arange(len(at)), mine] -= 1
-            grads["W"][a:b] += d.T @ h[at]
-            grads["wb"][a:b] += d.sum(axis=0)
-            dh[at] += d @ w["W"][a:b]
-    return out if grads is None else (out, dh)
+            e /= total[:, None]
+            e[mine] -= 1
+            grads["W"][a:b] += e.T @ h[at]
+            grads["wb"][a:b] += e.sum(axis=0)
+            dh[at] += e @ w["W"][a:b]
+    back = np.empty_like(order)
+    back[order] = rows
+    return out[back] if grads is None else (out[back], dh[back])
 
 
 class Trainer:
-    """Truncated backpropagation with Adam over windows of equal width; a window begins with an empty state."""
+    """Truncated backpropagation with Adam over windows of equal width. Fewer windows than lanes make a smaller step."""
 
-    def __init__(self, w: dict, v: Vocabulary, rate: float):
-        self.w, self.v, self.rate, self.t, self.tokens = {k: x.copy() for k, x in w.items()}, v, rate, 0, 0
+    def __init__(self, w: dict, v: Vocabulary, rate: float, lanes: int = 1):
+        self.w, self.v, self.rate, self.lanes, self.t, self.tokens = {k: x.copy() for k, x in w.items()}, v, rate, lanes, 0, 0
         self.m = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in w.items()}
 
-    def batch(self, inputs: np.ndarray, targets: np.ndarray) -> float:
-        """inputs and targets: windows by WINDOW; target -1: no token."""
-        w, g = self.w, {k: np.zeros_like(x) for k, x in self.w.items()}
+    def batch(self, inputs: np.ndarray, targets: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """inputs and targets: windows by WINDOW; target -1: no token. before: states that the windows begin with, else empty ones. Gives the states after them."""
+        w, g = self.w, {k: np.zeros_like(self.w[k]) for k in ("C", "cb", "W", "wb")}
         rows, width = inputs.shape
         table = w["E"] @ w["Wx"] + w["b"]
-        h, kept, states = np.zeros((rows, HIDDEN), np.float32), [], []
+        x, y = np.ascontiguousarray(inputs.T), np.ascontiguousarray(targets.T)
+        states = np.zeros((width + 1, rows, HIDDEN), table.dtype)
+        if before is not None:
+            states[0] = before
+        kept = []
         for t in range(width):
-            h, memory = step(w, table[inputs[:, t]], h)
+            states[t + 1], memory = step(w, table[x[t]], states[t])
             kept.append(memory)
-            states.append(h)
-        all_h = np.stack(states, axis=1)
-        live = targets >= 0
-        out, dh_live = log_probs(w, self.v, all_h[live], targets[live], g)
-        d_states = np.zeros_like(all_h)
-        d_states[live] = dh_live
-        carry = np.zeros((rows, HIDDEN), np.float32)
-        dxw = np.zeros((rows, width, 3 * HIDDEN), np.float32)
+        live = y >= 0
+        d_states = np.zeros((width, rows, HIDDEN), table.dtype)
+        _, d_states[live] = log_probs(w, self.v, states[1:][live], y[live], g)
+        carry = np.zeros((rows, HIDDEN), table.dtype)
+        dxw = np.empty((width, rows, 3 * HIDDEN), table.dtype)
+        da = np.empty_like(dxw)
+        back = np.ascontiguousarray(w["Wh"].T)
         for t in range(width - 1, -1, -1):
             h, z, r, hn, n = kept[t]
-            d = d_states[:, t] + carry
+            d = d_states[t] + carry
             dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h - n) * z * (1 - z)
-            dr = dn * hn * r * (1 - r)
-            dx = np.concatenate([dz, dr, dn], axis=1)
-            da = np.concatenate([dz, dr, dn * r], axis=1)
-            dxw[:, t] = dx
-            g["Wh"] += h.T @ da
-            carry = d * z + da @ w["Wh"].T
-        flat, ids = dxw.reshape(-1, 3 * HIDDEN), inputs.ravel()
-        g["b"] += flat.sum(axis=0)
-        g["Wx"] += w["E"][ids].T @ flat
-        np.add.at(g["E"], ids, flat @ w["Wx"].T)
+            dxw[t, :, :HIDDEN] = d * (h - n) * z * (1 - z)
+            dxw[t, :, HIDDEN : 2 * HIDDEN] = dn * hn * r * (1 - r)
+            dxw[t, :, 2 * HIDDEN :] = dn
+            da[t] = dxw[t]
+            da[t, :, 2 * HIDDEN :] *= r
+            carry = d * z + da[t] @ back
+        g["Wh"] = states[:-1].reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
+        # gradients of the table's rows: summed over equal inputs
+        ids = x.ravel()
+        order = np.argsort(ids, kind="stable")
+        begin = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        dt = np.zeros_like(table)
+        dt[ids[order][begin]] = np.add.reduceat(dxw.reshape(-1, 3 * HIDDEN)[order], begin)
+        g["b"], g["Wx"], g["E"] = dt.sum(axis=0), w["E"].T @ dt, dt @ w["Wx"].T
         n = max(1, int(live.sum()))
         self.t += 1
         self.tokens += n
-        for k, x in w.items():
+        rate = self.rate * min(1.0, math.sqrt(rows / self.lanes))
+        for k, p in w.items():
             m, s = self.m[k]
             d = g[k] / n
             m += 0.1 * (d - m)
             s += 0.01 * (d * d - s)
-            x -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.99**self.t)) + 1e-6)
-        return float(out.sum()) / n
+            p -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.99**self.t)) + 1e-6)
+        return states[-1]
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,33 +213,48 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, first + np.arange(n + 1)
 
 
-def windows(v: Vocabulary, h: np.ndarray, first: np.ndarray, stride: int, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and targets of the windows that a hash of document and place chooses, one in stride and at least one of each document."""
+def windows(v: Vocabulary, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs and targets of all windows in order, and each document's first window (one entry more than documents)."""
     ids = v.id_of(h)
     previous = np.concatenate([[v.size], v.inputs(h, ids)[:-1]]) if len(h) else np.zeros(0, np.int64)
     previous[first[:-1]] = v.size
-    n = np.diff(first)
-    count = -(-n // WINDOW)
-    doc = np.repeat(np.arange(len(n)), count)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    lot = tn.mix(salt[doc] + k.astype(tn.U) * tn.U(0x9E3779B97F4A7C15))
-    # a document of fewer windows than stride has one of them, others each stride-th by lot
-    one = k == (salt[doc] % np.maximum(count, 1).astype(tn.U)[doc]).astype(np.int64)
-    own = np.where(count[doc] <= stride, one, lot % tn.U(stride) == 0)
-    doc, k = doc[own], k[own]
-    at = first[doc][:, None] + (k * WINDOW)[:, None] + np.arange(WINDOW)[None, :]
+    begin = np.concatenate([[0], np.cumsum(-(-np.diff(first) // WINDOW))])
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(begin))
+    at = (first[doc] + (np.arange(len(doc)) - begin[doc]) * WINDOW)[:, None] + np.arange(WINDOW)[None, :]
     live = at < first[doc + 1][:, None]
     at = np.where(live, at, 0)
-    return np.where(live, previous[at], v.size), np.where(live, ids[at], -1)
-
-
-def train_on(trainer: Trainer, inputs: np.ndarray, targets: np.ndarray) -> None:
-    for i in range(0, len(inputs), BATCH):
-        trainer.batch(inputs[i : i + BATCH], targets[i : i + BATCH])
-
-
-def _salt(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return tn.mix(h[first[:-1]] ^ tn.mix(np.diff(first).astype(tn.U)) ^ (h[np.maximum(first[1:] - 2, first[:-1])] >> tn.U(7)))
+    return np.where(live, previous[at], v.size).astype(np.int32), np.where(live, ids[at], -1).astype(np.int32), begin
+
+
+def train_on(trainer: Trainer, columns) -> None:
+    """Trains on every window of the texts, a document in each lane: its state goes from window to window, and where it ends the next begins with an empty one."""
+    at, end, state = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, HIDDEN), np.float32)
+    x, y = np.zeros((0, WINDOW), np.int32), np.zeros((0, WINDOW), np.int32)
+
+    def stepped():
+        after = trainer.batch(x[at], y[at], state)
+        on = at + 1 < end
+        return at[on] + 1, end[on], after[on]
+
+    for column in columns:
+        for _, _, data, off in tn.texts(column):
+            more_x, more_y, begin = windows(trainer.v, *tokens(data, off))
+            rest = tn.ranges(at, end - 1)
+            end = np.cumsum(end - at)
+            at = np.concatenate([[0], end])[:-1]
+            x, y = np.concatenate([x[rest], more_x]), np.concatenate([y[rest], more_y])
+            begin = begin + len(rest)
+            doc = 0
+            while True:
+                n = min(trainer.lanes - len(at), len(begin) - 1 - doc)
+                at, end = np.concatenate([at, begin[doc : doc + n]]), np.concatenate([end, begin[doc + 1 : doc + n + 1]])
+                state = np.concatenate([state, np.zeros((n, HIDDEN), np.float32)])
+                doc += n
+                if len(at) < trainer.lanes:
+                    break
+                at, end, state = stepped()
+    while len(at):
+        at, end, state = stepped()
 
 
 def score(w: dict, v: Vocabulary, ids: np.ndarray, inputs: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -295,7 +324,7 @@ def _unpack(raw: np.ndarray, like: dict) -> dict:
     return out
 
 
-def train(docs: DataFrame, v: Vocabulary, stride: int = STRIDE, seed_docs: int = SEED_DOCS) -> dict:
+def train(docs: DataFrame, v: Vocabulary, seed_docs: int = SEED_DOCS) -> dict:
     """Averaged weights. docs: id and text of the training documents."""
     w = start_weights(v)
     if not v.size:
@@ -304,23 +333,13 @@ def train(docs: DataFrame, v: Vocabulary, stride: int = STRIDE, seed_docs: int =
     lots = docs.select(F.xxhash64("id", "text").alias("lot"), "text")
     last = lots.select("lot").orderBy("lot").limit(seed_docs).agg(F.max("lot")).first()[0]
     seed = lots.filter(F.col("lot") <= F.lit(last)).limit(2 * seed_docs).toArrow().sort_by("lot")
-    first_trainer = Trainer(w, v, 0.01)
-    for _, _, data, off in tn.texts(seed.column("text")):
-        h, first = tokens(data, off)
-        train_on(first_trainer, *windows(v, h, first, 2, _salt(h, first)))
+    first_trainer = Trainer(w, v, 0.01, SEED_LANES)
+    train_on(first_trainer, [seed.column("text")])
     w = first_trainer.w
 
     def run(batches):
-        trainer, wait = Trainer(w, v, 0.004), []
-        for b in batches:
-            for _, _, data, off in tn.texts(b.column("text")):
-                h, first = tokens(data, off)
-                wait.append(windows(v, h, first, stride, _salt(h, first)))
-                if sum(len(x) for x, _ in wait) >= BATCH:
-                    train_on(trainer, np.concatenate([x for x, _ in wait]), np.concatenate([y for _, y in wait]))
-                    wait = []
-        if wait:
-            train_on(trainer, np.concatenate([x for x, _ in wait]), np.concatenate([y for _, y in wait]))
+        trainer = Trainer(w, v, 0.004, LANES)
+        train_on(trainer, (b.column("text") for b in batches))
         if trainer.tokens:
             yield pa.RecordBatch.from_arrays([pa.array([float(trainer.tokens)]), pa.array([_pack(trainer.w)], pa.binary())], names=["n", "w"])
 
