@@ -164,6 +164,28 @@ def test_one_of_each(spark, docs, texts):
     assert sorted((str(r[0]), r[1] or "") for r in ngram_join.one_of_each(twice).collect()) == [("1", "a b c d e f"), ("1", "q r s t u v"), ("None", ""), ("None", "only here is this text")]
 
 
+def test_one_of_each_decides_by_row(spark, monkeypatch):
+    base = [f"c{i}" for i in range(60)]
+    near = lambda k, word: " ".join([*base[:k], word, *base[k + 1 :]])
+    alone = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    one, other = [" ".join(f"{p}{i}" for i in range(50)) for p in ("m", "n")]
+    rows = [
+        (3, near(2, "x")), (None, near(4, "y")), (5, near(59, "z")),  # one group, its copies under a null id and id 5
+        (None, alone("p")), (None, alone("q")), (5, alone("r")),  # texts of their own under the same ids
+        (7, one), (7, one + " end"), (None, other), (None, other + " end"), (None, other + " end"),  # groups that share one id, or have none
+        (None, ""), (8, "  "), (8, None),
+    ]
+    df = spark.createDataFrame([(i, t, f"k{n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, kept string")
+    for limit in (500_000, 0):
+        monkeypatch.setattr(ngram_join, "BROADCAST_DROPS", limit)
+        out = ngram_join.one_of_each(df)
+        assert out.schema == df.schema
+        got = sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect())
+        single = [("3", near(2, "x")), ("None", alone("p")), ("None", alone("q")), ("5", alone("r")), ("None", ""), ("8", "  "), ("8", "")]
+        assert [g for g in got if g[0] != "7" and not g[1].startswith("n0 ")] == sorted(single)
+        assert len([g for g in got if g[0] == "7"]) == 1 and len([g for g in got if g[1].startswith("n0 ")]) == 1
+
+
 def test_trie_on_random_sets():
     rng = np.random.default_rng(0)
     for _ in range(150):

@@ -31,7 +31,7 @@ SPARE = 0.06
 BLOCK = 1024
 #: Representatives that may be broadcast to fetch their documents; beyond, they are joined by a shuffle.
 BROADCAST_CLASSES = 250_000
-#: Ids of documents to drop that may be broadcast.
+#: Keys of rows to drop, or of rows that recur, that may be broadcast.
 BROADCAST_DROPS = 500_000
 
 
@@ -72,7 +72,9 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _prefixes(words: int, percent: int):
+def _prefixes(words: int, percent: int, key: str = "id"):
+    """Sizes, hashes and prefixes of the texts' sets, behind the column key."""
+
     def run(batches):
         for b in batches:
             for lo, hi, data, off in tn.texts(b.column("text")):
@@ -82,7 +84,7 @@ def _prefixes(words: int, percent: int):
                 size = prefix_len(n, percent)
                 some = size > 0
                 pre = g[tn.ranges(at[:-1][some], at[:-1][some] + size[some] - 1)]
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(pre, size)], names=["id", "n", "s1", "s2", "pre"])
+                yield pa.RecordBatch.from_arrays([b.column(key).slice(lo, hi - lo), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(pre, size)], names=[key, "n", "s1", "s2", "pre"])
 
     return run
 
@@ -270,17 +272,15 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """For each document: its id, n_shingles and component_id, the smallest id reachable by links.
-
-    Two documents link when 100 * shared shingles >= percent * shingles of either.
-    """
-    spark = docs.sparkSession
-    tuned(spark)
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind, n_parts = narrow.schema["id"].dataType.simpleString(), parts(narrow)
-    every = saved(narrow.mapInArrow(trimmed(_prefixes(words, percent)), f"id {kind}, n long, s1 long, s2 long, pre array<long>"), "sets")
-    classes = every.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("pre").alias("pre"))
+def _linked(narrow: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row of narrow with n, s1 and s2 of its set, and for each set what is least in its component. narrow: id and text, the least id is comp; or row
+    (a struct with hashes h1 and h2 that tell rows apart) and text, the least row's hashes are m1 and m2."""
+    spark = narrow.sparkSession
+    by_row = "row" in narrow.columns
+    key = "row" if by_row else "id"
+    kind, n_parts = narrow.schema[key].dataType.simpleString(), parts(narrow.select(key, "text"))
+    every = saved(narrow.mapInArrow(trimmed(_prefixes(words, percent, key)), f"{key} {kind}, n long, s1 long, s2 long, pre array<long>"), "sets")
+    classes = every.filter("n > 0").groupBy("s1", "s2").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("pre").alias("pre"))
     classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     tokens = classes.select("cls", F.explode("pre").alias("t"))
     hubs = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("hub")).filter("c > 1").select("t", "hub")
@@ -291,11 +291,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     homes = saved(met.join(alive, "cls").filter(F.col("count") >= F.col("least")).select("cls", F.col("hub").alias("bucket")), "homes")
     large = homes.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     homes = saved(homes.join(large, "bucket"), "homes")
-    wanted = saved(classes.join(homes.select("cls").distinct(), "cls").select("cls", "rep", "s1", "s2"), "wanted")
+    reps = [F.col("rep.h1").alias("r1"), F.col("rep.h2").alias("r2")] if by_row else ["rep"]
+    wanted = saved(classes.join(homes.select("cls").distinct(), "cls").select("cls", *reps, "s1", "s2"), "wanted")
     dropped(met)
     n_wanted = wanted.count()
     side = F.broadcast(wanted) if n_wanted <= BROADCAST_CLASSES else wanted
-    sets = narrow.join(side, F.col("id").eqNullSafe(F.col("rep"))).select("cls", "s1", "s2", "text").mapInArrow(trimmed(_whole_sets(words)), "cls long, tokens array<long>")
+    is_rep = (F.col("row.h1") == F.col("r1")) & (F.col("row.h2") == F.col("r2")) if by_row else F.col("id").eqNullSafe(F.col("rep"))
+    sets = narrow.join(side, is_rep).select("cls", "s1", "s2", "text").mapInArrow(trimmed(_whole_sets(words)), "cls long, tokens array<long>")
     sets = saved(sets, "whole")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("cls"), F.col("m")).cast("int")
@@ -306,22 +308,50 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = components(edges)
     least = roots.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
     least = saved(least.join(least.groupBy("root").agg(F.min("rep").alias("comp")), "root").select(F.col("node").alias("cls"), "comp"), "least")
-    named = saved(classes.select("s1", "s2", "cls", "rep").join(least, "cls", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("comp")), "named")
+    comp = F.coalesce("comp", "rep")
+    comps = [comp["h1"].alias("m1"), comp["h2"].alias("m2")] if by_row else [comp.alias("comp")]
+    named = saved(classes.select("s1", "s2", "cls", "rep").join(least, "cls", "left").select("s1", "s2", *comps), "named")
     dropped(classes, edges, least)
     release(spark)
+    return every, named
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """For each document: its id, n_shingles and component_id, the smallest id reachable by links.
+
+    Two documents link when 100 * shared shingles >= percent * shingles of either.
+    """
+    tuned(docs.sparkSession)
+    every, named = _linked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words, percent)
     out = every.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("comp")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each group of linked ones: that with the smallest id. Documents without words stay; of rows with equal id and text one stays."""
-    found = saved(ngram_components(docs, id_col, text_col, **options), "components")
-    drop = saved(found.filter((F.col("n_shingles") > 0) & ~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_drop")).distinct(), "drop")
-    n_drop = drop.count()
-    side = F.broadcast(drop) if n_drop <= BROADCAST_DROPS else drop
-    kept = docs.join(side, F.col(id_col).eqNullSafe(F.col("_drop")), "left_anti")
-    twice = found.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_twice"))
-    if not twice.isEmpty():
-        same = F.col(id_col).eqNullSafe(F.col("_twice"))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each group of linked ones: that with the smallest id, null last, and of several texts with that id the one of the smallest hash.
+
+    Documents without words stay; of rows with equal id and text one stays. Rows are told apart by 128-bit hashes of id and text, so a null or repeated id
+    decides nothing for other rows that have it.
+    """
+    tuned(docs.sparkSession)
+    i, t = F.col(id_col), F.col(text_col)
+    h1, h2 = F.xxhash64(i.isNull(), i, t), F.xxhash64(F.lit(1), i.isNull(), i, t)
+    row = F.struct(i.isNull().alias("none"), i.alias("id"), h1.alias("h1"), h2.alias("h2"))
+    every, named = _linked(docs.select(row.alias("row"), t.alias("text")), words, percent)
+    keys = every.groupBy(F.col("row.h1").alias("h1"), F.col("row.h2").alias("h2")).agg(F.count(F.lit(1)).alias("c"), *(F.first(x).alias(x) for x in ("n", "s1", "s2")))
+    drop = (F.col("n") > 0) & ((F.col("h1") != F.col("m1")) | (F.col("h2") != F.col("m2")))
+    marked = keys.join(named, ["s1", "s2"], "left").withColumn("drop", drop).filter("drop or c > 1")
+    found = saved(marked.select("drop", F.col("h1").alias("_drop_h1"), F.col("h2").alias("_drop_h2")), "drop")
+    dropped(every, named)
+    same = (h1 == F.col("_drop_h1")) & (h2 == F.col("_drop_h2"))
+
+    def side(which: str) -> tuple[DataFrame, int]:
+        rows = found.filter(which).drop("drop")
+        n = rows.count()
+        return F.broadcast(rows) if n <= BROADCAST_DROPS else rows, n
+
+    kept = docs.join(side("drop")[0], same, "left_anti")
+    twice, n_twice = side("not drop")
+    if n_twice:
         kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
     return kept
