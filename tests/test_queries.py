@@ -45,3 +45,16 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_catch_up_of_every_due_timer(spark):
+    """As a loop has it, timers overdue for more than ten minutes included."""
+    ev = core.read_table(spark, FOLDER, "events").selectExpr("event_id", "unix_micros(cast(ts as timestamp)) as at").collect()
+    want = []
+    for r in ev:
+        step = 1_000_000 * (1 + r["event_id"] % 50) if r["event_id"] % 3 == 0 else None
+        due = r["at"] + step if step else 1704067200000000 + r["event_id"] * 1_000_000
+        if due <= core.NOW:
+            want += [(r["event_id"], f) for f in (range(due, core.NOW + 1, step) if step else [due])]
+    assert any(f <= core.NOW - 600_000_000 for _, f in want)
+    assert sorted(tuple(r) for r in core.queries()["q_timer_catchup_all"](spark, FOLDER).collect()) == sorted(want)

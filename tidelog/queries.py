@@ -332,6 +332,12 @@ def q_timer_catchup(spark, d):
     return timers.catch_up(_timers(spark, d).filter(F.col("due") > NOW - 600_000_000), NOW, every=True)
 
 
+@query(TIMER + f"select id, unnest(case when step is null then [due] else range(due, {NOW} + 1, step) end) as fires from due where due <= {NOW}")
+def q_timer_catchup_all(spark, d):
+    """Every due timer, however long it is overdue; q_timer_catchup is bounded to ten minutes."""
+    return timers.catch_up(_timers(spark, d), NOW, every=True)
+
+
 @query(name="p_rate_limit")
 def p_rate_limit(spark, d):
     """Events as calls, a hundred days in one second's scale, so that buckets run dry."""
