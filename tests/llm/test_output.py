@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import packing, sstable
 
@@ -30,10 +31,64 @@ def test_pack(sizes):
             assert fill[0] + fill[1] > sizes[0]
 
 
+def cost(bins, sizes=packing.SIZES):
+    costs = packing.costs_of(sizes)
+    return sum(costs[b] for b in bins)
+
+
+def single(n, size, sizes=packing.SIZES):
+    """Cost of best fit with one size, downsized."""
+    costs, left = packing.costs_of(sizes), []
+    for x in sorted(n.tolist(), reverse=True):
+        fits = [b for b in left if b[0] >= x]
+        if fits:
+            min(fits)[0] -= x
+        else:
+            left.append([max(size, min(c for c in sizes if c >= x)) - x, max(size, min(c for c in sizes if c >= x))])
+    return sum(min(costs[c] for c in sizes if c >= size - free) for free, size in left)
+
+
 def test_sizes_are_chosen_jointly():
     n = np.array([300] * 3 + [4096] + [100])
     _, _, bins = packing.pack(n)
     assert sorted(bins) == [1024, 4096]
+    # seven of 520 fill 4096 best, one of 1000 fills 1024
+    _, _, bins = packing.pack(np.array([520] * 70 + [1000] * 5))
+    assert bins.count(4096) >= 9 and bins.count(1024) >= 5 and cost(bins) <= 1.02 * cost([1024] * 5 + [4096] * 10)
+    rng = np.random.default_rng(3)
+    for n in (np.minimum(4096, rng.lognormal(6, 1, 4000).astype(np.int64) + 1), rng.choice([520, 700, 1300, 1400, 2100, 30], 2000), rng.integers(1, 900, 3000)):
+        _, _, bins = packing.pack(n)
+        assert set(packing.SIZES) & set(bins) and cost(bins) < single(n, 4096) and all(cost(bins) <= single(n, s) for s in packing.SIZES)
+        assert len(set(bins)) > 1
+
+
+def test_pack_against_the_optimum():
+    sizes = (10, 20, 40)
+    costs = packing.costs_of(sizes, 2, 100)
+
+    def optimum(n):
+        """Every partition of the pieces into bins."""
+        best = [float("inf")]
+
+        def place(i, bins):
+            if i == len(n):
+                best[0] = min(best[0], sum(min(costs[c] for c in sizes if c >= b) for b in bins))
+                return
+            for k in range(len(bins)):
+                if bins[k] + n[i] <= max(sizes):
+                    place(i + 1, [*bins[:k], bins[k] + n[i], *bins[k + 1 :]])
+            place(i + 1, [*bins, n[i]])
+
+        place(0, [])
+        return best[0]
+
+    rng = np.random.default_rng(8)
+    ratios = []
+    for _ in range(40):
+        n = rng.integers(1, 41, int(rng.integers(1, 8)))
+        _, _, bins = packing.pack(n, sizes, 2, 100)
+        ratios.append(sum(costs[b] for b in bins) / optimum(n.tolist()))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) < 1.2 and sum(r < 1 + 1e-9 for r in ratios) >= 32
 
 
 def test_best_fit_loses_nothing(spark):
@@ -55,6 +110,9 @@ def test_best_fit_loses_nothing(spark):
     assert all(a[1] <= b[0] for spans in used.values() for a, b in zip(sorted(spans), sorted(spans)[1:]))
     assert sorted((r["piece"], r["first"], r["after"]) for r in out if r["doc_id"] == 3) == [(0, 0, 4096), (1, 4096, 8192), (2, 8192, 9001)]
     assert packing.best_fit(df.filter("false")).collect() == []
+    odd = spark.createDataFrame([(1, -5), (2, None), (3, 0), (3, 30_000_000)], "doc_id long, n int")
+    out = packing.best_fit(odd, length=F.col("n")).collect()
+    assert sum(r["after"] - r["first"] for r in out) == 30_000_000 and {r["doc_id"] for r in out} == {1, 2, 3} and all(r["after"] == 0 for r in out if r["doc_id"] < 3)
 
 
 def table(entries):
