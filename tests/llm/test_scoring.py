@@ -267,22 +267,31 @@ def test_masks_never_miss():
 
 
 def contamination(docs, items, window=13, percent=80):
+    """Covered words by document and item, over every alignment."""
     split = lambda t: re.findall(r"(?:[a-zA-Z0-9]|[^\x00-\x7f])+", lower(t or ""))
     out = []
     for t in docs:
-        a, hit = split(t), set()
+        a, hit = split(t), {}
         for k, x in items:
             x = split(x)
-            n = min(window, len(x))
-            for s in range(-(len(x) - n), len(a) - n + 1) if len(x) >= 8 else []:
+            n, share = min(window, len(x)), percent if len(x) >= 8 else 100
+            for s in range(-(len(x) - n), len(a) - n + 1) if len(x) >= 5 else []:
                 i, j = max(0, -s), min(len(x), len(a) - s)
                 same = [a[i + s + q] == x[i + q] for q in range(j - i)]
-                if any(100 * sum(same[q : q + n]) >= percent * n for q in range(j - i - n + 1)):
-                    hit.add(k)
-        out.append(sorted(hit))
+                for q in range(j - i - n + 1):
+                    if 100 * sum(same[q : q + n]) >= share * n:
+                        hit.setdefault(k, set()).update(range(i + s + q, i + s + q + n))
+        out.append(hit)
     return out
 
 
+def covered(overlaps):
+    got = {}
+    for o in overlaps:
+        got.setdefault(o["item_id"], set()).update(range(o["first"], o["after"]))
+    return got
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(6)
     vocab = [f"t{i}" for i in range(60)]
@@ -298,7 +307,8 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: r for r in decontamination.contaminated(df, bench).collect()}
     want = contamination(docs, [(k, x) for k, x in items if x])
-    assert [got[i]["item_ids"] for i in range(len(docs))] == want and any(want)
+    assert [covered(got[i]["overlaps"]) for i in range(len(docs))] == want and any(want)
+    assert [got[i]["item_ids"] for i in range(len(docs))] == [sorted(w) for w in want]
     assert all(r["contaminated"] == bool(r["item_ids"]) for r in got.values())
     kept = decontamination.without_contaminated(df, bench)
     assert kept.schema == df.schema and {r["doc_id"] for r in kept.collect()} == {i for i, w in enumerate(want) if not w}
@@ -315,6 +325,51 @@ def test_decontamination_in_several_tables(spark, monkeypatch):
     assert [r["doc_id"] for r in decontamination.without_contaminated(df.unionByName(clean), bench).collect()] == [99]
 
 
+def test_decontamination_of_repetitive_texts():
+    rng = np.random.default_rng(9)
+    items = ["a " * 40, "a b " * 15, "b a a " * 9, " ".join(rng.choice(["a", "b"], 30)), "c " * 6, "c d e f g", "a a a a"]
+    docs = ["a " * 90, "a b " * 50, "x " + "b a a " * 20 + "y", " ".join(rng.choice(["a", "b"], 150)), "c " * 5, "c " * 7, "q c d e f g q", "c d e f x g", " ".join(rng.choice(["a", "b", "c"], 200))]
+    for block in (1, 50, 1 << 20):
+        before = decontamination.BLOCK_HITS, decontamination.BLOCK_WORDS
+        decontamination.BLOCK_HITS = decontamination.BLOCK_WORDS = block
+        try:
+            table = decontamination.Items(pa.array(items))
+            _, _, first, h = decontamination.plain_words(*column_bytes(docs))
+            got = [{} for _ in docs]
+            for d, k, x, y, n in table.overlaps(h, first, 13, 80).T.tolist():
+                at = got[d].setdefault(k, set())
+                assert not at & set(range(x, y)) and 0 < n <= y - x
+                at.update(range(x, y))
+        finally:
+            decontamination.BLOCK_HITS, decontamination.BLOCK_WORDS = before
+        assert got == contamination(docs, list(enumerate(items)))
+
+
+def test_decontamination_of_a_very_long_text():
+    """Very many equal words against an item of the same word: one hit an alignment, and bounded blocks."""
+    import tracemalloc
+
+    table = decontamination.Items(pa.array(["a " * 500]))
+    _, _, first, h = decontamination.plain_words(*column_bytes(["b " + "a " * 200_000]))
+    tracemalloc.start()
+    assert table.overlaps(h, first, 13, 80).T.tolist() == [[0, 0, 0, 200_001, 500]]
+    assert tracemalloc.get_traced_memory()[1] < 400_000_000
+    tracemalloc.stop()
+
+
+def test_decontamination_ids_and_clashing_columns(spark, monkeypatch):
+    passage = " ".join(f"z{i}" for i in range(20))
+    rows = [("p", passage, 1, 2, 3), (None, f"so {passage} it goes", 1, 2, 3), ("q", "clean", 1, 2, 3), ("q", None, 1, 2, 3), ("r", passage, 4, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, t1 int, overlaps int, row int")
+    bench = spark.createDataFrame([(None, passage), ("it", passage), ("other", "not there " * 30)], "item_id string, text string")
+    for limit in (8 << 20, 100):
+        monkeypatch.setattr(decontamination, "SIDE_BYTES", limit)
+        got = sorted((str(r["doc_id"]), r["contaminated"], r["item_ids"]) for r in decontamination.contaminated(df, bench).collect())
+        assert got == [("None", True, ["it", None]), ("p", True, ["it", None]), ("q", False, []), ("q", False, []), ("r", True, ["it", None])]
+        kept = decontamination.without_contaminated(df, bench)
+        assert kept.schema == df.schema and sorted(str(r["text"]) for r in kept.collect()) == ["None", "clean"]
+
+
 def test_sql_oracles(spark):
     from tidelog.llm import queries
 

@@ -71,6 +71,35 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Bytes of a side that may be broadcast, by Catalyst's estimate or by rows times the width given; and the share of rows from which a key counts as hot.
+BROADCAST_BYTES = 32 << 20
+HOT_SHARE = 10_000
+
+
+def small(rows: int, width: int) -> bool:
+    """Whether so many rows of so many bytes may be broadcast."""
+    return rows * width <= BROADCAST_BYTES
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], count: str, how: str) -> DataFrame:
+    """left joined with right, whose keys are unique and which has in column `count` (dropped) the rows of left with its key. how: inner, left or left_anti.
+
+    Keys with more than a ten-thousandth of left's matched rows are hot: at most HOT_SHARE keys, so they are broadcast and their rows stay where they are;
+    all others are joined by a shuffle, in which no key is large. left and right are read twice: they should be tables.
+    """
+    n, total, most = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
+    limit = max(1000, total // HOT_SHARE)
+    bare = right.drop(count)
+    if plan_bytes(bare) <= BROADCAST_BYTES // 4:
+        return left.join(F.broadcast(bare), on, how)
+    if most <= limit:
+        return left.join(bare.hint("shuffle_hash" if small(n, 64) else "merge"), on, how)
+    hot = right.filter(F.col(count) > limit)
+    keys = F.broadcast(hot.select(*on))
+    rest = left.join(keys, on, "left_anti").join(right.filter(F.col(count) <= limit).drop(count), on, how)
+    return rest if how == "left_anti" else rest.unionByName(left.join(F.broadcast(hot.drop(count)), on, "inner"))
+
+
 def parts(df: DataFrame, per: int = SHARD_BYTES) -> int:
     """Partitions to deal df into: the session's number, or more where that would make them larger than per. What has no estimate is summed up."""
     size = plan_bytes(df)
