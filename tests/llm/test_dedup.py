@@ -176,8 +176,8 @@ def test_one_of_each_decides_by_row(spark, monkeypatch):
         (None, ""), (8, "  "), (8, None),
     ]
     df = spark.createDataFrame([(i, t, f"k{n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, kept string")
-    for limit in (500_000, 0):
-        monkeypatch.setattr(ngram_join, "BROADCAST_DROPS", limit)
+    for few in (True, False):
+        monkeypatch.setattr(ngram_join, "small", lambda rows, width, few=few: few)
         out = ngram_join.one_of_each(df)
         assert out.schema == df.schema
         got = sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect())
@@ -186,6 +186,72 @@ def test_one_of_each_decides_by_row(spark, monkeypatch):
         assert len([g for g in got if g[0] == "7"]) == 1 and len([g for g in got if g[1].startswith("n0 ")]) == 1
 
 
+def test_one_of_each_beside_any_column(spark):
+    names = ["doc_id", "text", "_drop", "_drop_h1", "_twice", "h1", "h2", "n", "s1", "s2", "cls", "row"]
+    rows = [(i, t, *range(10)) for i, t in [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l")]]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n == 'text' else 'long'}" for n in names))
+    out = ngram_join.one_of_each(df)
+    assert out.schema == df.schema and sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize(("block", "shingles"), [(4, 1 << 20), (1024, 200)])
+def test_ngram_hot_bucket(spark, block, shingles, monkeypatch):
+    """A group of near copies of which many are linked with their origin only, beside one that is linked by a chain, in buckets of many blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles)
+    rng = np.random.default_rng(5)
+    base = [f"a{i}" for i in range(70)]
+
+    def near(k):
+        out = list(base)
+        for at in rng.choice(70, k, replace=False):
+            out[at] = f"x{rng.integers(10**9)}"
+        return " ".join(out)
+
+    rows = [near(int(k)) for k in rng.integers(0, 5, 60)] + [" ".join([*base[: 70 - 3 * k], *(f"c{i}" for i in range(3 * k))]) for k in range(12)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in ngram_join.ngram_components(df).collect()}
+    assert [got[i] for i in range(len(rows))] == components_of(rows)
+
+
+def test_blocks_against_each_other():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 60, 30)
+    sets = [np.unique(np.where(rng.random(30) < rng.random() * 0.2, rng.integers(0, 60, 30), base)).astype(np.uint64) for _ in range(24)]
+    plain = [set(s.tolist()) for s in sets]
+    full = {(i, j) for i in range(10) for j in range(14) if 100 * len(plain[i] & plain[10 + j]) >= 80 * len(plain[i] | plain[10 + j])}
+    assert set(ngram_join.join_blocks(sets[:10], sets[10:])) == full and full
+    one = ngram_join.join_blocks(sets[:10], sets[10:], connected=True)
+    assert set(one) <= full and sorted(i for i, _ in one) == sorted({i for i, _ in full})
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_spread_join(spark, how, monkeypatch):
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, i) for i in range(8)] + [(3, 0), (9, 1), (9, 2)], "k long, v long")
+    right = spark.createDataFrame([(1, "a", 50), (2, "b", 8), (3, "c", 1), (4, "d", 0)], "k long, x string, c long")
+    want = sorted(map(str, left.join(right.drop("c"), "k", how).collect()))
+    for size, rows in ((1 << 30, 1000), (0, 1000), (0, 5)):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(common, "HOT_ROWS", rows)
+        out = common.spread_join(left, right, ["k"], "c", how)
+        assert sorted(map(str, out.collect())) == want and out.columns == (["k", "v"] if how == "left_anti" else ["k", "v", "x"])
+
+
+def test_drawn(spark):
+    rows = [(True, i * 7 % 101, "t" * (10 + i)) for i in range(101)] + [(True, 0, "t" * 10)] * 40 + [(False, i, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "kind boolean, lot long, text string")
+    out = common.drawn(df, {True: 20, False: 4}, 500).collect()
+    assert sum(len(r["text"] or "") for r in out) <= 500 and len({(r["kind"], r["lot"]) for r in out}) == len(out)
+    assert sum(not r["kind"] for r in out) == 4 and 0 < sum(r["kind"] for r in out) <= 20
+    assert common.drawn(df.filter("false"), {True: 5}, 10).collect() == []
+
+
+def test_rows_of_equal_length_are_dealt_over_all_shards(spark):
+    df = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "lpad(cast(id as string), 9, '0') as text")
+    counts = {r["shard"]: r["count"] for r in common.dealt(df, "doc_id", "text", 64).groupBy("shard").count().collect()}
+    assert len(counts) == 64 and max(counts.values()) < 2 * 20_000 / 64
+
+
 def test_trie_on_random_sets():
     rng = np.random.default_rng(0)
     for _ in range(150):

@@ -71,9 +71,9 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-#: Bytes of a side that may be broadcast, by Catalyst's estimate or by rows times the width given; and the share of rows from which a key counts as hot.
+#: Bytes of a side that may be broadcast, by Catalyst's estimate or by rows times the width given; and the share and number of rows from which a key counts as hot.
 BROADCAST_BYTES = 32 << 20
-HOT_SHARE = 10_000
+HOT_SHARE, HOT_ROWS = 10_000, 1000
 
 
 def small(rows: int, width: int) -> bool:
@@ -88,7 +88,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], count: str, ho
     all others are joined by a shuffle, in which no key is large. left and right are read twice: they should be tables.
     """
     n, total, most = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
-    limit = max(1000, total // HOT_SHARE)
+    limit = max(HOT_ROWS, total // HOT_SHARE)
     bare = right.drop(count)
     if plan_bytes(bare) <= BROADCAST_BYTES // 4:
         return left.join(F.broadcast(bare), on, how)
@@ -116,7 +116,7 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, n: int, carry: bool = Fal
     """
     text = F.col(text_col)
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
-    return docs.select(*row, F.col(id_col).alias("id"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.length(text)), F.lit(n)).cast("int").alias("shard"))
+    return docs.select(*row, F.col(id_col).alias("id"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n)).cast("int").alias("shard"))
 
 
 def beside(docs: DataFrame, side: DataFrame, n: int, fn: Callable, schema: str) -> DataFrame:
@@ -154,6 +154,26 @@ def beside(docs: DataFrame, side: DataFrame, n: int, fn: Callable, schema: str)
     return both.repartitionById(n, F.col("shard")).sortWithinPartitions(tag).mapInArrow(run, schema)
 
 
+def drawn(rows: DataFrame, most: dict, most_bytes: int) -> DataFrame:
+    """A bounded draw: of each kind at most most[kind] different rows by lot, and of those, by lot, as many as take at most most_bytes of text together.
+
+    rows: kind, lot (a hash of the row) and text. The smallest lot of each of most[kind] residues is looked at, so no row is moved to choose; equal rows count
+    once. A row that would exceed the bytes is passed over.
+    """
+    spark = rows.sparkSession
+    n = F.lit(1)
+    for kind, k in most.items():
+        n = F.when(F.col("kind") == F.lit(kind), F.lit(k)).otherwise(n)
+    least = rows.groupBy("kind", F.pmod("lot", n).alias("_r")).agg(F.min(F.struct("lot", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))).alias("m"))
+    taken, left = [], most_bytes
+    for lot, size, kind in sorted((r["m"]["lot"], r["m"]["size"], r["kind"]) for r in least.collect()):
+        if size <= left:
+            taken.append((kind, lot))
+            left -= size
+    kind = rows.schema["kind"].dataType.simpleString()
+    return rows.join(F.broadcast(spark.createDataFrame(taken, f"kind {kind}, lot long")), ["kind", "lot"]).dropDuplicates(["kind", "lot"])
+
+
 def trimmed(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """fn for mapInArrow, with freed memory given back at the end of each task: the worker may idle beside the next operator's."""
 

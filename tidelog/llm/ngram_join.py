@@ -6,33 +6,39 @@
    need / h of what it shares with a partner, and the same hub does so for the partner: both meet in that hub's bucket.
 3. A bucket's sets are ordered by falling frequency in a trie. Every set traverses it, sharing the partial overlaps of common paths; a subtree is
    left when overlap so far plus what remains on either side can't reach the least overlap that its sizes require. Links come as spanning edges.
-   A large bucket is split into blocks, and every pair of blocks is a task of its own, so no link is lost and no task holds a whole hot bucket.
-4. Edges become components by alternating large-star and small-star steps, and classes give them to their documents.
+4. A bucket of many sets or shingles is first held against a few pivots, the sets that share most with its hub, in blocks: sets linked with a pivot
+   have its label and are known to be connected. Then pairs of blocks are tasks of their own, but for pairs of one label; so a large group of
+   near copies costs its size and not its square, no link is lost, and no task holds a whole hot bucket.
+5. Edges become components by alternating large-star and small-star steps, and classes give them to their documents.
+
+Joins on shingles, buckets, nodes and set hashes broadcast the few keys that hold very many rows, so one hot key doesn't make one long task.
 
 Results: null or wordless texts have no shingles and link with nothing. Repeated rows are rows of one class. A null id takes part; ids of a component
-are compared without nulls. Empty tables give empty results; other columns are ignored.
+are compared without nulls. Empty tables give empty results; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import textnp as tn
-from tidelog.llm.common import dropped, parts, release, saved, trimmed, tuned
+from tidelog.llm.common import dropped, parts, release, saved, small, spread_join, trimmed, tuned
 
 WORDS = 5
 PERCENT = 80
 #: Share of a set that its prefix holds beyond what the threshold asks for; more makes buckets finer.
 SPARE = 0.06
-#: Sets in one block of a bucket.
-BLOCK = 1024
-#: Representatives that may be broadcast to fetch their documents; beyond, they are joined by a shuffle.
-BROADCAST_CLASSES = 250_000
-#: Keys of rows to drop, or of rows that recur, that may be broadcast.
-BROADCAST_DROPS = 500_000
+#: Sets, and shingles of sets, in one block of a bucket.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Sets of a bucket with several blocks that all others are held against.
+PIVOTS = 4
+#: Bytes of a row of two to five numbers once broadcast.
+ROW_BYTES = 96
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +78,8 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _prefixes(words: int, percent: int, key: str = "id"):
-    """Sizes, hashes and prefixes of the texts' sets, behind the column key."""
+def _prefixes(words: int, percent: int):
+    """Sizes, hashes and prefixes of the texts' sets, behind the column row."""
 
     def run(batches):
         for b in batches:
@@ -84,7 +90,7 @@ def _prefixes(words: int, percent: int, key: str = "id"):
                 size = prefix_len(n, percent)
                 some = size > 0
                 pre = g[tn.ranges(at[:-1][some], at[:-1][some] + size[some] - 1)]
-                yield pa.RecordBatch.from_arrays([b.column(key).slice(lo, hi - lo), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(pre, size)], names=[key, "n", "s1", "s2", "pre"])
+                yield pa.RecordBatch.from_arrays([b.column("row").slice(lo, hi - lo), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(pre, size)], names=["row", "n", "s1", "s2", "pre"])
 
     return run
 
@@ -156,9 +162,8 @@ class Trie:
             lo = a
         return out
 
-    def linked(self, leaf: int, mark: np.ndarray, percent: int) -> np.ndarray:
-        """Leaves after `leaf` whose sets are linked with it. mark: scratch array over ranks, all zero."""
-        x, nx = self.seq[leaf], int(self.size[leaf])
+    def linked(self, x: np.ndarray, nx: int, mark: np.ndarray, percent: int, leaf: int = -1, one: bool = False) -> np.ndarray:
+        """Leaves after `leaf` whose sets are linked with x, a sequence of a set of nx; with one, only the first ones found. mark: scratch over ranks, all zero."""
         mark[x] = 1
         at, overlap, found = self.tops, np.zeros(len(self.tops), np.int64), []
         while len(at):
@@ -181,6 +186,8 @@ class Trie:
             ends = at[leaves]
             good = (100 + percent) * overlap[leaves] >= percent * (nx + self.size[self.lo[ends]])
             found.append(self.lo[ends[good]])
+            if one and good.any():
+                break
             at, overlap = at[~leaves], overlap[~leaves]
             kids = self.child[at]
             overlap = np.repeat(overlap, kids[:, 1] - kids[:, 0])
@@ -190,21 +197,25 @@ class Trie:
         return hits[hits > leaf]
 
 
-def join_bucket(tokens: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Edges that span the components of the sets given, each an array of distinct hashes."""
-    n = len(tokens)
-    if n < 2:
-        return []
+def _ranked(tokens: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each set as ascending ranks by falling frequency, without shingles that no other set has; the sets' sizes; and scratch over ranks."""
     sizes = np.array([len(t) for t in tokens], np.int64)
     values, inverse, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
     order = np.lexsort((values, -count))
     rank = np.empty(len(values), np.int64)
     rank[order] = np.arange(len(values))
-    shared = count > 1
-    ranks, keep = rank[inverse], shared[inverse]
+    ranks, keep = rank[inverse], (count > 1)[inverse]
     off = np.concatenate([[0], np.cumsum(sizes)])
-    trie = Trie([np.sort(ranks[off[i] : off[i + 1]][keep[off[i] : off[i + 1]]]) for i in range(n)], sizes)
-    mark = np.zeros(len(values) + 1, np.int64)
+    return [np.sort(ranks[off[i] : off[i + 1]][keep[off[i] : off[i + 1]]]) for i in range(len(tokens))], sizes, np.zeros(len(values) + 1, np.int64)
+
+
+def join_bucket(tokens: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Edges that span the components of the sets given, each an array of distinct hashes."""
+    n = len(tokens)
+    if n < 2:
+        return []
+    seqs, sizes, mark = _ranked(tokens)
+    trie = Trie(seqs, sizes)
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -215,7 +226,7 @@ def join_bucket(tokens: list[np.ndarray], percent: int = PERCENT) -> list[tuple[
 
     edges = []
     for leaf in range(n):
-        for other in trie.linked(leaf, mark, percent).tolist():
+        for other in trie.linked(trie.seq[leaf], int(trie.size[leaf]), mark, percent, leaf).tolist():
             a, b = find(leaf), find(other)
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -223,30 +234,70 @@ def join_bucket(tokens: list[np.ndarray], percent: int = PERCENT) -> list[tuple[
     return edges
 
 
+def join_blocks(asking: list[np.ndarray], asked: list[np.ndarray], percent: int = PERCENT, connected: bool = False) -> list[tuple[int, int]]:
+    """Links from one block's sets to another's. connected: the asked ones are of one component, so one link of each asking set is enough."""
+    if not asking or not asked:
+        return []
+    seqs, sizes, mark = _ranked([*asking, *asked])
+    n = len(asking)
+    trie = Trie(seqs[n:], sizes[n:])
+    return [(i, int(trie.order[leaf])) for i in range(n) for leaf in trie.linked(seqs[i], int(sizes[i]), mark, percent, one=connected)[: 1 if connected else None].tolist()]
+
+
+def _groups(batches, keys: list[str], columns: list[str]):
+    """Runs of rows with equal keys: the key, and for each row the columns and its shingles."""
+    key, rows = None, []
+    for batch in batches:
+        lists = batch.column("tokens")
+        at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        values = tn.as_u64(lists.flatten())
+        for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in [*keys, *columns]), strict=True)):
+            if row[: len(keys)] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[: len(keys)], []
+            rows.append((*row[len(keys) :], values[at[k] : at[k + 1]]))
+    if rows:
+        yield key, rows
+
+
 def _edges(percent: int):
-    """Rows sorted by bucket, block i and block j. Gives spanning edges of each group."""
+    """Rows sorted by bucket, block i and block j. Gives edges that span what is linked between the blocks, or within one."""
+
+    def run(batches):
+        for (_, i, j), rows in _groups(batches, ["bucket", "i", "j"], ["b", "cls", "label"]):
+            sides = [{cls: (tokens, label) for b, cls, label, tokens in rows if b == side} for side in ((i, j) if i != j else (i,))]
+            if i == j:
+                a = z = list(sides[0])
+                pairs = join_bucket([sides[0][c][0] for c in a], percent)
+            else:
+                # a block with a label is one component: it is asked
+                if any(label is not None for _, label in sides[0].values()):
+                    sides.reverse()
+                a, z = map(list, sides)
+                one = all(label is not None for _, label in sides[1].values())
+                pairs = join_blocks([sides[0][c][0] for c in a], [sides[1][c][0] for c in z], percent, one)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([a[x] for x, _ in pairs], pa.int64()), pa.array([z[y] for _, y in pairs], pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _labels(percent: int):
+    """Rows sorted by bucket, block and rank (pivots have one, others come last). Gives each set's bucket and label: the first pivot it is linked with."""
 
     def run(batches):
-        key, members = None, {}
-
-        def close():
-            names = list(members)
-            pairs = join_bucket([members[k] for k in names], percent)
-            a, b = [names[i] for i, _ in pairs], [names[j] for _, j in pairs]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
-
-        for batch in batches:
-            lists = batch.column("tokens")
-            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            values = tn.as_u64(lists.flatten())
-            for k, (bucket, i, j, cls) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "cls")), strict=True)):
-                if (bucket, i, j) != key:
-                    if len(members) > 1:
-                        yield close()
-                    key, members = (bucket, i, j), {}
-                members[cls] = values[at[k] : at[k + 1]]
-        if len(members) > 1:
-            yield close()
+        for (bucket, _), rows in _groups(batches, ["bucket", "b"], ["rank", "cls"]):
+            pivots = {cls: tokens for rank, cls, tokens in rows if rank < PIVOTS}
+            sets = {cls: tokens for rank, cls, tokens in rows if rank == PIVOTS}
+            linked: dict[int, list[int]] = {}
+            for pivot, tokens in pivots.items():
+                for i, _ in join_blocks(list(sets.values()), [tokens], percent):
+                    linked.setdefault(i, []).append(pivot)
+            names = list(sets)
+            at = list(range(len(names)))
+            edges = [linked.get(i, []) for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(at), pa.int64()), pa.array(names, pa.int64()), pa.array([e[0] if e else None for e in edges], pa.int64()), pa.array(edges, pa.list_(pa.int64()))], names=["bucket", "cls", "label", "pivots"])
 
     return run
 
@@ -256,13 +307,13 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     now = saved(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), "edges")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("c"))
+        large = spread_join(both, least, ["u"], "c", "inner").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = saved(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        then = saved(small, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        joined = spread_join(large, least, ["u"], "c", "inner")
+        small_star = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        then = saved(small_star, "edges")
         # stars: every node has one edge, and to a node that has none
         changed = not then.select("u").intersect(then.select("v")).isEmpty() or not then.groupBy("u").count().filter("count > 1").isEmpty()
         dropped(now, large)
@@ -272,45 +323,77 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _blocks(size: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(size / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _labelled(homes: DataFrame, sets: DataFrame, n_parts: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Buckets of several blocks held against their pivots. Gives homes with label, offset (the label's first block), m (its blocks) and all (the bucket's
+    blocks); and the links found. homes: cls, bucket, count, n and m."""
+    mine = lambda m: F.pmod(F.xxhash64("cls"), m).cast("int")
+    lots = homes.groupBy("bucket", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(PIVOTS)).alias("lot")).agg(F.max(F.struct("count", "cls")).alias("top"), F.first("m").alias("m"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("top"))) - 1  # of PIVOTS rows
+    pivots = lots.select("bucket", rank.alias("rank"), F.col("top.cls").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("b"))
+    tasks = homes.select("bucket", F.lit(PIVOTS).alias("rank"), "cls", mine(F.col("m")).alias("b")).unionByName(pivots)
+    rows = tasks.join(sets, "cls").repartition(n_parts, "bucket", "b").sortWithinPartitions("bucket", "b", "rank")
+    labels = saved(rows.mapInArrow(trimmed(_labels(percent)), "bucket long, cls long, label long, pivots array<long>"), "labels")
+    known = labels.select("bucket", "cls", "label").join(homes.select("bucket", "cls", "n"), ["bucket", "cls"])
+    each = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).withColumn("m", _blocks(F.col("size"), F.col("shingles")))
+    so_far = Window.partitionBy("bucket").orderBy(F.col("label").asc_nulls_first())  # PIVOTS + 1 rows at most
+    placed = each.select("bucket", F.coalesce("label", F.lit(-1)).alias("l"), "m", (F.sum("m").over(so_far) - F.col("m")).cast("int").alias("offset"), F.sum("m").over(Window.partitionBy("bucket")).cast("int").alias("all"), F.col("size").alias("c"))
+    placed = saved(placed, "placed")
+    out = spread_join(known.select("bucket", "cls", "label", F.coalesce("label", F.lit(-1)).alias("l")), placed, ["bucket", "l"], "c", "inner").drop("l")
+    return out, labels.select(F.explode("pivots").alias("u"), F.col("cls").alias("v"))
+
+
+def _row(id_col: str, text_col: str) -> Column:
+    """A row's id with nulls last, and 128 bits of its id and text that tell it from other rows."""
+    i, t = F.col(id_col), F.col(text_col)
+    return F.struct(i.isNull().alias("none"), i.alias("id"), F.xxhash64(i.isNull(), i, t).alias("h1"), F.xxhash64(F.lit(1), i.isNull(), i, t).alias("h2"))
+
+
 def _linked(narrow: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Every row of narrow with n, s1 and s2 of its set, and for each set what is least in its component. narrow: id and text, the least id is comp; or row
-    (a struct with hashes h1 and h2 that tell rows apart) and text, the least row's hashes are m1 and m2."""
+    """Every row of narrow (row, text) with n, s1 and s2 of its set; and for each set comp, the least row of its component, and c, its number of rows."""
     spark = narrow.sparkSession
-    by_row = "row" in narrow.columns
-    key = "row" if by_row else "id"
-    kind, n_parts = narrow.schema[key].dataType.simpleString(), parts(narrow.select(key, "text"))
-    every = saved(narrow.mapInArrow(trimmed(_prefixes(words, percent, key)), f"{key} {kind}, n long, s1 long, s2 long, pre array<long>"), "sets")
-    classes = every.filter("n > 0").groupBy("s1", "s2").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("pre").alias("pre"))
+    kind, n_parts = narrow.schema["row"].dataType.simpleString(), parts(narrow.select("row", "text"))
+    every = saved(narrow.mapInArrow(trimmed(_prefixes(words, percent)), f"row {kind}, n long, s1 long, s2 long, pre array<long>"), "sets")
+    classes = every.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("rep"), F.first("n").alias("n"), F.first("pre").alias("pre"), F.count(F.lit(1)).alias("c"))
     classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     tokens = classes.select("cls", F.explode("pre").alias("t"))
-    hubs = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("hub")).filter("c > 1").select("t", "hub")
-    met = saved(tokens.join(hubs, "t").groupBy("cls", "hub").count(), "met")
+    hubs = saved(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("hub")).filter("c > 1"), "hubs")
+    met = saved(spread_join(tokens, hubs, ["t"], "c", "inner").groupBy("cls", "hub").count(), "met")
+    dropped(hubs)
     sums = met.groupBy("cls").agg(F.sum("count").alias("all"), F.count(F.lit(1)).alias("h"))
     need = F.greatest(F.lit(1.0), F.col("n") * (SPARE * percent / 100))
-    alive = classes.select("cls", "n").join(sums, "cls").filter(F.col("all") >= F.ceil(need - 1e-9)).withColumn("least", need / F.col("h") - 1e-9).select("cls", "least")
-    homes = saved(met.join(alive, "cls").filter(F.col("count") >= F.col("least")).select("cls", F.col("hub").alias("bucket")), "homes")
-    large = homes.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    homes = saved(homes.join(large, "bucket"), "homes")
-    reps = [F.col("rep.h1").alias("r1"), F.col("rep.h2").alias("r2")] if by_row else ["rep"]
-    wanted = saved(classes.join(homes.select("cls").distinct(), "cls").select("cls", *reps, "s1", "s2"), "wanted")
-    dropped(met)
-    n_wanted = wanted.count()
-    side = F.broadcast(wanted) if n_wanted <= BROADCAST_CLASSES else wanted
-    is_rep = (F.col("row.h1") == F.col("r1")) & (F.col("row.h2") == F.col("r2")) if by_row else F.col("id").eqNullSafe(F.col("rep"))
-    sets = narrow.join(side, is_rep).select("cls", "s1", "s2", "text").mapInArrow(trimmed(_whole_sets(words)), "cls long, tokens array<long>")
-    sets = saved(sets, "whole")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("cls"), F.col("m")).cast("int")
-    tasks = homes.withColumn("m", blocks).withColumn("b", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("cls", "bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    alive = classes.select("cls", "n").join(sums, "cls").filter(F.col("all") >= F.ceil(need - 1e-9)).withColumn("least", need / F.col("h") - 1e-9).select("cls", "n", "least")
+    found = saved(met.join(alive, "cls").filter(F.col("count") >= F.col("least")).select("cls", F.col("hub").alias("bucket"), "count", "n"), "homes")
+    sizes = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles")).filter("c > 1")
+    sizes = saved(sizes.select("bucket", "c", _blocks(F.col("c"), F.col("shingles")).alias("m")), "sizes")
+    homes = saved(spread_join(found, sizes, ["bucket"], "c", "inner"), "homes")
+    wanted = classes.join(homes.select("cls").distinct(), "cls").select("cls", F.col("rep.h1").alias("r1"), F.col("rep.h2").alias("r2"), "s1", "s2")
+    wanted = saved(wanted, "wanted")
+    dropped(met, found)
+    side = F.broadcast(wanted) if small(wanted.count(), ROW_BYTES) else wanted
+    sets = narrow.join(side, (F.col("row.h1") == F.col("r1")) & (F.col("row.h2") == F.col("r2"))).select("cls", "s1", "s2", "text")
+    sets = saved(sets.mapInArrow(trimmed(_whole_sets(words)), "cls long, tokens array<long>"), "whole")
+    one = F.lit(0)
+    tasks = homes.filter("m = 1").select("cls", "bucket", one.alias("i"), one.alias("j"), one.alias("b"), F.lit(None).cast("long").alias("label"))
+    links = None
+    if not sizes.filter("m > 1").isEmpty():
+        split, links = _labelled(homes.filter("m > 1"), sets, n_parts, percent)
+        b = (F.col("offset") + F.pmod(F.xxhash64("cls"), F.col("m"))).cast("int")
+        others = split.withColumn("b", b).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
+        others = others.filter(F.col("label").isNull() | (F.col("o") < F.col("offset")) | (F.col("o") >= F.col("offset") + F.col("m")))
+        tasks = tasks.unionByName(others.select("cls", "bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "label"))
     groups = tasks.join(sets, "cls").repartition(n_parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    edges = saved(groups.mapInArrow(trimmed(_edges(percent)), "u long, v long"), "edges")
-    dropped(sets, homes, wanted)
+    edges = groups.mapInArrow(trimmed(_edges(percent)), "u long, v long")
+    edges = saved(edges if links is None else edges.unionByName(links), "edges")
+    dropped(sets, homes, sizes, wanted)
     roots = components(edges)
     least = roots.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
-    least = saved(least.join(least.groupBy("root").agg(F.min("rep").alias("comp")), "root").select(F.col("node").alias("cls"), "comp"), "least")
-    comp = F.coalesce("comp", "rep")
-    comps = [comp["h1"].alias("m1"), comp["h2"].alias("m2")] if by_row else [comp.alias("comp")]
-    named = saved(classes.select("s1", "s2", "cls", "rep").join(least, "cls", "left").select("s1", "s2", *comps), "named")
+    groups = least.groupBy("root").agg(F.min("rep").alias("comp"), F.count(F.lit(1)).alias("c"))
+    least = saved(spread_join(least, saved(groups, "roots"), ["root"], "c", "inner").select(F.col("node").alias("cls"), "comp"), "least")
+    named = saved(classes.select("s1", "s2", "cls", "rep", "c").join(least, "cls", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("comp"), "c"), "named")
     dropped(classes, edges, least)
     release(spark)
     return every, named
@@ -322,9 +405,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Two documents link when 100 * shared shingles >= percent * shingles of either.
     """
     tuned(docs.sparkSession)
-    every, named = _linked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words, percent)
-    out = every.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("comp")).alias("component_id"))
+    every, named = _linked(docs.select(_row(id_col, text_col).alias("row"), F.col(text_col).alias("text")), words, percent)
+    rows = every.select(F.col("row.id").alias("id"), "n", "s1", "s2")
+    out = spread_join(rows.filter("n > 0"), named.select("s1", "s2", F.col("comp.id").alias("comp"), "c"), ["s1", "s2"], "c", "left").select("id", "n", "comp")
+    out = out.unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("comp")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -334,21 +419,23 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     decides nothing for other rows that have it.
     """
     tuned(docs.sparkSession)
-    i, t = F.col(id_col), F.col(text_col)
-    h1, h2 = F.xxhash64(i.isNull(), i, t), F.xxhash64(F.lit(1), i.isNull(), i, t)
-    row = F.struct(i.isNull().alias("none"), i.alias("id"), h1.alias("h1"), h2.alias("h2"))
-    every, named = _linked(docs.select(row.alias("row"), t.alias("text")), words, percent)
-    keys = every.groupBy(F.col("row.h1").alias("h1"), F.col("row.h2").alias("h2")).agg(F.count(F.lit(1)).alias("c"), *(F.first(x).alias(x) for x in ("n", "s1", "s2")))
-    drop = (F.col("n") > 0) & ((F.col("h1") != F.col("m1")) | (F.col("h2") != F.col("m2")))
-    marked = keys.join(named, ["s1", "s2"], "left").withColumn("drop", drop).filter("drop or c > 1")
-    found = saved(marked.select("drop", F.col("h1").alias("_drop_h1"), F.col("h2").alias("_drop_h2")), "drop")
-    dropped(every, named)
-    same = (h1 == F.col("_drop_h1")) & (h2 == F.col("_drop_h2"))
+    row = _row(id_col, text_col)
+    every, named = _linked(docs.select(row.alias("row"), F.col(text_col).alias("text")), words, percent)
+    keys = every.groupBy(F.col("row.h1").alias("h1"), F.col("row.h2").alias("h2")).agg(F.count(F.lit(1)).alias("times"), *(F.first(x).alias(x) for x in ("n", "s1", "s2")))
+    keys = saved(keys, "keys")
+    with_words = spread_join(keys.filter("n > 0"), named.select("s1", "s2", F.col("comp.h1").alias("m1"), F.col("comp.h2").alias("m2"), "c"), ["s1", "s2"], "c", "left")
+    drop = (F.col("h1") != F.col("m1")) | (F.col("h2") != F.col("m2"))
+    marked = with_words.select("h1", "h2", "times", drop.alias("drop")).unionByName(keys.filter("n = 0").select("h1", "h2", "times", F.lit(False).alias("drop")))
+    # names that no column of docs has
+    k1, k2 = (f"_key_{uuid.uuid4().hex}" for _ in range(2))
+    found = saved(marked.filter("drop or times > 1").select("drop", F.col("h1").alias(k1), F.col("h2").alias(k2)), "drop")
+    dropped(every, named, keys)
+    same = (row["h1"] == F.col(k1)) & (row["h2"] == F.col(k2))
 
     def side(which: str) -> tuple[DataFrame, int]:
         rows = found.filter(which).drop("drop")
         n = rows.count()
-        return F.broadcast(rows) if n <= BROADCAST_DROPS else rows, n
+        return F.broadcast(rows) if small(n, ROW_BYTES) else rows, n
 
     kept = docs.join(side("drop")[0], same, "left_anti")
     twice, n_twice = side("not drop")
