@@ -1,8 +1,9 @@
 """Toxicity: a linear-chain conditional random field over two labels tags toxic words; its marginals give document scores and offending offsets.
 
-Training, on the driver: at most SAMPLE toxic and CLEAN * SAMPLE clean labelled documents, chosen by a hash of their ids, near copies once. A word of a toxic document is
-labelled when documents of the toxic class have it far more often; all other words are clean. The field has a weight for words and 4-byte word
-beginnings that lean to the toxic class, a bias and transitions; likelihood is climbed with forward-backward marginals on stretches of STRETCH words.
+Training, on the driver: at most SAMPLE toxic and CLEAN * SAMPLE clean labelled documents, drawn by a hash, of at most SAMPLE_BYTES of text in all and whole
+each; near copies once. A word of a toxic document is labelled when documents of the toxic class have it far more often; all other words are clean. The
+field has a weight for words and 4-byte word beginnings that lean to the toxic class, a bias and transitions; likelihood is climbed with forward-backward
+marginals on stretches of STRETCH words: all that hold a word with a weight, and as many others, drawn by their hash.
 A logistic curve over a document's evidence is fitted on the same documents, weighted to the classes' shares among all labelled rows.
 
 Scoring, in one pass and without a shuffle: words without weights are alike, so a run of g of them is one matrix to the power g. Forward and backward
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textnp as tn
-from tidelog.llm.common import held_out, trimmed, tuned
+from tidelog.llm.common import drawn, held_out, trimmed, tuned
 
-SAMPLE = 1200
+SAMPLE = 2000
+SAMPLE_BYTES = 16 << 20
 #: Clean documents are sampled more, up to so many times SAMPLE.
 CLEAN = 2
 STRETCH = 100
@@ -140,7 +142,8 @@ def _fit_field(word: np.ndarray, head: np.ndarray, first: np.ndarray, toxic: np.
     size = np.diff(np.concatenate([new, [len(word)]]))
     hot = np.add.reduceat(((w_of > 0) | (h_of > 0)).astype(np.int64), new) > 0 if len(new) else np.zeros(0, bool)
     cold = np.flatnonzero(~hot)
-    chosen = np.sort(np.concatenate([np.flatnonzero(hot), cold[: hot.sum()]]))
+    lots = tn.Prefix(word, tn.GRAM_BASE).spans(new[cold], new[cold] + size[cold])
+    chosen = np.sort(np.concatenate([np.flatnonzero(hot), cold[np.argsort(lots, kind="stable")[: hot.sum()]]]))
     live = np.arange(STRETCH)[None, :] < size[chosen][:, None]
     at = np.where(live, new[chosen][:, None] + np.arange(STRETCH)[None, :], 0)
     y = label[at] & live
@@ -284,16 +287,18 @@ def train(texts: pa.Array, toxic: np.ndarray, prior: float) -> Field:
     return field
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, mod: int = MOD) -> Field:
-    """Trains on at most `sample` toxic and CLEAN * `sample` clean documents whose crc32(id) mod `mod` isn't 2."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, mod: int = MOD, sample_bytes: int = SAMPLE_BYTES) -> Field:
+    """Trains on at most `sample` toxic and CLEAN * `sample` clean documents whose crc32(id) mod `mod` isn't 2, of at most sample_bytes together."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), mod)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     shares = {r["y"]: r["n"] for r in known.groupBy((F.col("y") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(shares.values())
     prior = shares.get(True, 0) / total if total else 0.0
-    pick = [known.filter(F.col("y") > 0 if toxic else F.col("y") <= 0).orderBy(F.xxhash64("id"), "id").limit(sample * (1 if toxic else CLEAN)) for toxic in (True, False)]
-    chosen = F.broadcast(pick[0].unionByName(pick[1]))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "text", (F.col("y") > 0).alias("y")).toArrow().sort_by("id")
-    return train(rows.column("text"), rows.column("y").to_numpy().astype(bool), prior)
+    most = {True: sample, False: sample * CLEAN}
+    pick = [known.filter(F.col("y") > 0 if toxic else F.col("y") <= 0).orderBy(F.xxhash64("id"), "id").limit(n) for toxic, n in most.items()]
+    chosen = F.broadcast(pick[0].unionByName(pick[1]))  # ids, sample * (1 + CLEAN) at most
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select(F.xxhash64("id", "text").alias("lot"), "text", (F.col("y") > 0).alias("kind"))
+    table = drawn(rows, most, sample_bytes).toArrow().combine_chunks().sort_by("lot")
+    return train(table.column("text"), table.column("kind").to_numpy().astype(bool), prior)
 
 
 def score_texts(field: Field, texts: pa.Array):
