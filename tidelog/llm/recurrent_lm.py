@@ -2,7 +2,7 @@
 
 1. Training words are counted over all documents that aren't held out. The TOP most frequent, the end mark among them, are the model's words, in classes of
    falling frequency; all others form the tail class, in which a word has its share (count + 1) / (tail tokens + tail words + 1).
-2. Weights start from the counts. The driver first trains on at most SEED_DOCS documents; then every shard trains from there by truncated backpropagation
+2. Weights start from the counts. The driver first trains on at most SEED_DOCS documents of at most SEED_BYTES in all; then every shard trains from there by truncated backpropagation
    on every window of all its training documents, the state carried from window to window, and the shards' weights are averaged by their tokens.
 3. Each shard gets the counts of its words beside its documents, and steps through all of them together; finished ones leave. Of the words' probabilities,
    P(class | state) * P(word | class, state), the logarithms sum up to the score.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textnp as tn
-from tidelog.llm.common import beside, dealt, dropped, held_out, parts, saved, trimmed, tuned
+from tidelog.llm.common import beside, dealt, drawn, dropped, held_out, parts, saved, trimmed, tuned
 
 TOP, CLASSES = 1023, 32
 HIDDEN = EMBED = 16
@@ -30,7 +30,7 @@ HIDDEN = EMBED = 16
 TAIL_INPUTS, WINDOW = 64, 32
 #: Documents that the driver and a shard train on at a time.
 SEED_LANES, LANES = 64, 256
-SEED_DOCS = 1500
+SEED_DOCS, SEED_BYTES = 1500, 8 << 20
 MOD = 7
 END = tn.U(0x0123456789ABCDEF)
 AVERAGED = 64
@@ -329,10 +329,8 @@ def train(docs: DataFrame, v: Vocabulary, seed_docs: int = SEED_DOCS) -> dict:
     w = start_weights(v)
     if not v.size:
         return w
-    # lots first, then the texts that drew the least: a task that sorts lots of all shards sees no text
-    lots = docs.select(F.xxhash64("id", "text").alias("lot"), "text")
-    last = lots.select("lot").orderBy("lot").limit(seed_docs).agg(F.max("lot")).first()[0]
-    seed = lots.filter(F.col("lot") <= F.lit(last)).limit(2 * seed_docs).toArrow().sort_by("lot")
+    lots = docs.select(F.xxhash64("id", "text").alias("lot"), "text", F.lit(True).alias("kind"))
+    seed = drawn(lots, {True: seed_docs}, SEED_BYTES).toArrow().sort_by("lot")
     first_trainer = Trainer(w, v, 0.01, SEED_LANES)
     train_on(first_trainer, [seed.column("text")])
     w = first_trainer.w
