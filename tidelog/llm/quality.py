@@ -4,7 +4,7 @@ DataFrame functions only. One pass over the texts makes five numbers a document;
 read no text again. A document fails a rule by its base, by more than one symbol in ten words, or by repeated lines beyond a third of its lines.
 The prior Beta(a, b) has the mean and, where hosts differ by more than chance, the variance of the hosts' failure rates (method of moments).
 A host is bad if its shrunken rate (failures + a) / (documents + a + b) exceeds MAX_RATE. Hot hosts are summed before the shuffle; verdicts are broadcast
-where there are few hosts, and joined by a shuffle that splits hot hosts otherwise.
+where they are few bytes; otherwise those of hot hosts are, and all others are joined by a shuffle.
 
 Results: null text has no words, so its base fails. A null host is a host of its own. Repeated rows count as often as they come. Empty tables give empty
 results. Other columns are ignored.
@@ -17,13 +17,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import saved
+from tidelog.llm.common import saved, spread_join
 
 MIN_WORDS = 50
 MAX_RATE = 0.5
 GRAM = 3
-#: Hosts whose verdicts may be broadcast.
-BROADCAST_HOSTS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,10 +84,10 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """For each document: its id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept."""
     facts = saved(base(docs, id_col, text_col, host_col), "quality")
     failed = F.col("base_failed") | (10 * F.col("n_symbols") > F.col("n_words")) | (3 * F.col("n_dup_lines") > F.col("n_lines"))
-    hosts = saved(host_verdicts(facts.select("host", failed.alias("failed")), max_rate).select(F.col("host").alias("known"), "bad"), "hosts")
-    side = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
-    joined = facts.join(side, F.col("host").eqNullSafe(F.col("known")), "left")
-    kept = ~F.col("base_failed") & ~F.coalesce("bad", F.lit(False))
+    key = [F.col("host").isNull().alias("no_host"), F.coalesce("host", F.lit("")).alias("host")]
+    hosts = saved(host_verdicts(facts.select("host", failed.alias("failed")), max_rate).select(*key, "bad", "n"), "hosts")
+    joined = spread_join(facts.select(*key, *(c for c in facts.columns if c != "host")), hosts, ["no_host", "host"], "n", "inner")
+    kept = ~F.col("base_failed") & ~F.col("bad")
     return joined.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
 
