@@ -10,7 +10,11 @@ Key of a long id: one byte 1, then the id big-endian with its sign bit flipped,
 Value: the document's ids as u16, the end id among them.
 
 The tokenizer's vocabulary must have fewer than 65,536 ids.
-Results: null text is empty and has the end id alone. Repeated ids stay next to each other, in order of their ids. Empty tables give no file.
+A file has a name of its attempt and counts once its row is in the list of files, so a repeated or lost attempt leaves at most a file that nobody lists;
+token_ids() deletes those. Folders are resolved as Spark does, by its default file system; the workers write through pyarrow (file, hdfs, s3, gs, abfs).
+Rows are dealt by ranges of id, then of a hash of the text and of a number of the row, so one id that very many rows have is split over files.
+
+Results: null text is empty and has the end id alone. Repeated ids stay next to each other, in order of a hash of their texts. Empty tables give no file.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import parts, saved, scratch_root, tuned
@@ -289,21 +293,27 @@ class Reader:
         return out
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme and host that Spark would use for it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return str(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()).rstrip("/")
+
+
 def _open(path: str):
-    fs, where = pafs.FileSystem.from_uri(path)
+    scheme, rest = path.split(":", 1)
+    fs, where = pafs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}:{rest}")
     return fs, where
 
 
 def write_table(path: str, entries: Iterable[tuple[bytes, bytes]]) -> tuple[int, int]:
-    """Writes under a name of this attempt and renames it: a repeated or lost attempt leaves no half file under `path`."""
+    """Writes a table of entries in key order; gives the numbers of entries and ids."""
     fs, where = _open(path)
-    part = f"{where}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(where) as out:
         w = Writer(out)
         for key, value in entries:
             w.add(key, value)
         w.close()
-    fs.move(part, where)
     return w.entries, w.ids
 
 
@@ -317,6 +327,7 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     tokenizer = tokenizer or default_tokenizer()
     spark = docs.sparkSession
     tuned(spark)
+    folder = qualified(spark, folder)
     fs, where = _open(folder)
     fs.create_dir(where, recursive=True)
     end = np.array([end_id], "<u2").tobytes()
@@ -338,7 +349,7 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
         rows = entries()
         first = next(rows, None)
         if first is not None:
-            path = f"{folder}/part-{shard:06d}.sst"
+            path = f"{folder}/part-{shard:06d}-{uuid.uuid4().hex}.sst"
 
             def all_rows():
                 yield first
@@ -347,7 +358,9 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
             n, m = write_table(path, all_rows())
             yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([path]), pa.array([n]), pa.array([m])], names=["shard", "path", "entries", "ids"])
 
-    ordered = narrow.repartitionByRange(parts(narrow), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    keys = [F.col("id").asc_nulls_first(), "h"]
+    narrow = narrow.withColumn("h", F.xxhash64("text"))
+    ordered = narrow.withColumn("r", F.monotonically_increasing_id()).repartitionByRange(parts(narrow), *keys, "r").select("id", "text", "h").sortWithinPartitions(*keys).select("id", "text")
     return ordered.mapInArrow(write, "shard long, path string, entries long, ids long")
 
 
@@ -391,4 +404,10 @@ def read_ids(files: DataFrame, tokens: bool = False) -> DataFrame:
 def token_ids(docs: DataFrame, folder: str | None = None, **options) -> DataFrame:
     """Writes the files and reads them back; folder: where they go, else a new one in the shared folder."""
     folder = folder or f"{scratch_root(docs.sparkSession)}/sst-{uuid.uuid4().hex}"
-    return read_ids(saved(write_ids(docs, folder, **options), "files"))
+    files = saved(write_ids(docs, folder, **options), "files")
+    fs, where = _open(qualified(docs.sparkSession, folder))
+    listed = {r["path"].rsplit("/", 1)[1] for r in files.select("path").collect()}
+    for f in fs.get_file_info(pafs.FileSelector(where)):
+        if f.base_name.endswith(".sst") and f.base_name not in listed:
+            fs.delete_file(f.path)
+    return read_ids(files)
