@@ -68,7 +68,9 @@ def _seeds(window: int):
                 h, first = _hashed(data, off)
                 g = tn.gram_hash(h, k)
                 pos, _, _ = tn.anchors(g, first, window, k)
-                yield pa.RecordBatch.from_arrays([pa.array(g[pos].view(np.int64)), pa.array(_of(shard, lo, first, pos), pa.int32())], names=["seed", "shard"])
+                pairs = np.stack([g[pos].view(np.int64), _of(shard, lo, first, pos).astype(np.int64)])
+                pairs, n = np.unique(pairs, axis=1, return_counts=True) if len(pos) else (pairs, np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1].astype(np.int32)), pa.array(n.astype(np.int64))], names=["seed", "shard", "n"])
 
     return run
 
@@ -214,9 +216,9 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, window: int, carry:
     tuned(spark)
     n = parts(docs.select(id_col, text_col))
     ours = dealt(docs, id_col, text_col, n, carry)
-    seeds = saved(ours.select("text", "shard").mapInArrow(trimmed(_seeds(window)), "seed long, shard int"), "seeds")
-    twice = seeds.groupBy("seed").count().filter("count > 1").select("seed")
-    side = seeds.distinct().join(twice, "seed", "left_semi").select("seed", "shard")
+    seeds = saved(ours.select("text", "shard").mapInArrow(trimmed(_seeds(window)), "seed long, shard int, n long"), "seeds")
+    twice = seeds.groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed")
+    side = seeds.join(twice, "seed", "left_semi").select("seed", "shard").distinct()
     found = saved(beside(ours.select("text", "shard"), side, n, _fragments(window), "seed long, f long, shard int, n long, phrase string, w array<long>"), "fragments")
     dropped(seeds)
     each = saved(found.groupBy("seed", "f").agg(F.sum("n").alias("n"), F.first("w").alias("w")), "each")
