@@ -1,0 +1,85 @@
+"""Every operator on texts of hundreds of thousands of words beside short ones, against brute force where that is quick."""
+
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from test_dedup import bytes_removed, components_of, words_removed
+from test_scoring import base_of, lower
+
+from tidelog.llm import decontamination, ngram_join, packing, quality, recurrent_lm, sstable, substring_dedup, suffix_dedup, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = np.random.default_rng(11)
+    long = " ".join(f"w{i}" for i in rng.integers(0, 5000, 250_000))
+    return [long, long + " and an end", "z " * 200_000, "short text", None, "", long[:3000]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+
+
+def test_substring(docs, texts):
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.substring_dedup(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [x[:3] for x in words_removed(texts, 35)]
+
+
+def test_suffix(spark, texts):
+    few = [t and t[:150_000] for t in texts]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(few)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == bytes_removed(few, 200)
+
+
+def test_ngram(docs, texts):
+    got = {r["doc_id"]: tuple(r)[1:] for r in ngram_join.ngram_components(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == components_of(texts)
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each(docs).collect()) == [0, 2, 3, 4, 5, 6]
+
+
+def test_packing(docs, texts):
+    out = packing.best_fit(docs).collect()
+    for i, t in enumerate(texts):
+        assert sum(r["after"] - r["first"] for r in out if r["doc_id"] == i) == len(WORD.findall(t or "")) + 1
+
+
+def test_quality(spark, docs, texts):
+    got = {r["doc_id"]: tuple(r)[1:7] for r in quality.host_quality(docs.selectExpr("*", "'h' as source")).collect()}
+    assert [got[i] for i in range(len(texts))] == [base_of(t) for t in texts]
+
+
+def test_toxicity(spark, docs):
+    labels = spark.createDataFrame([(i, int(i == 2)) for i in range(7)], "doc_id long, toxic int")
+    assert all(0 <= r["score"] <= 1 for r in toxicity.toxicity(docs, labels).collect())
+
+
+def test_lm(docs, texts):
+    got = {r["doc_id"]: r for r in recurrent_lm.lm_scores(docs).collect()}
+    assert [got[i]["n_tokens"] for i in range(len(texts))] == [len(WORD.findall(t or "")) + 1 for t in texts] and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got.values())
+
+
+def test_decontamination(spark, docs, texts):
+    bench = spark.createDataFrame([("in", " ".join(texts[0].split()[200_000:200_020])), ("z", "z " * 30), ("not", "never there " * 9)], "item_id string, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {0: ["in"], 1: ["in"], 2: ["z"], 3: [], 4: [], 5: [], 6: []}
+
+
+def test_token_ids(docs, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(sstable.default_tokenizer())
+    at = 0
+    for r in sorted(sstable.token_ids(docs).collect(), key=lambda r: r["doc_id"]):
+        ids = [*t.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 0]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_helpers():
+    assert lower("ÄA") == "Äa"

@@ -163,7 +163,8 @@ def test_ids_written_and_read(spark, tmp_path):
 
     texts = [(3, "Hello there, world."), (-5, None), (9, ""), (None, "no id"), (7, "same"), (7, "same"), (1, "line\nline"), (2, "x" * 5000)]
     df = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, start int")
-    files = sstable.write_ids(df, f"file://{tmp_path}/sst").collect()
+    files = sstable.write_ids(df, f"{tmp_path}/sst").collect()
+    assert all(f["path"].startswith("file:/") for f in files)
     assert sum(f["entries"] for f in files) == len(texts)
     t = Tokenizer.from_file(sstable.default_tokenizer())
     at, want = 0, []
@@ -173,9 +174,33 @@ def test_ids_written_and_read(spark, tmp_path):
         at += len(ids)
     got = [tuple(r) for r in sstable.read_ids(spark.createDataFrame(files), tokens=True).collect()]
     assert sorted(got, key=lambda r: r[1]) == want
-    one = next(f for f in files if sstable.open_table(f["path"]).get(sstable.key_of(7)))
-    assert len(sstable.open_table(one["path"]).get(sstable.key_of(7))) == 2
+    assert sum(len(sstable.open_table(f["path"]).get(sstable.key_of(7))) for f in files) == 2
     assert sstable.token_ids(df.filter("false")).collect() == []
+    with pytest.raises(Exception, match="s3|S3|hdfs|region|resolve"):
+        sstable.open_table("s3a://no-such-bucket-here/x")  # the scheme is known, the store isn't there
+
+
+def test_one_id_of_many_rows_is_split_over_files(spark, tmp_path):
+    rows = [(5, "same text")] * 3000 + [(None, f"t {i % 7}") for i in range(500)] + [(i, "x") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    files = sstable.write_ids(df, f"file://{tmp_path}/hot").collect()
+    assert len(files) == 4 and max(f["entries"] for f in files) < 1800
+    got = sstable.token_ids(df, f"file://{tmp_path}/again").collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got) == sorted((i is not None, i or 0) for i, _ in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    by_start = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in sorted(got, key=lambda r: r["start"])]
+    assert by_start == sorted(by_start)
+
+
+def test_files_of_lost_attempts_go(spark, tmp_path):
+    folder = tmp_path / "sst"
+    folder.mkdir()
+    (folder / "part-000000-lost.sst").write_bytes(b"half")
+    got = sstable.token_ids(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), f"file://{folder}").collect()
+    assert len(got) == 2 and not (folder / "part-000000-lost.sst").exists() and list(folder.glob("*.sst"))
 
 
 def test_pipeline(spark):

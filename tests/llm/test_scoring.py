@@ -46,6 +46,45 @@ def test_collapsed_marginals_are_exact():
                 assert math.isclose(prob[k], sum(x for y, x in weights.items() if y[i]) / total, rel_tol=1e-9)
 
 
+def test_document_scores_against_all_labellings():
+    """Texts through score_texts, and each labelling of their words weighed by itself."""
+    rng = np.random.default_rng(2)
+    hash_of = lambda w: int(toxicity.tokens(*column_bytes([w]))[3][0])
+    head_of = lambda w: int(toxicity.tokens(*column_bytes([w]))[4][0])
+    words = sorted([(hash_of(w), x) for w, x in (("grot", 3.1), ("vexil", 1.2), ("mild", -0.7))])
+    heads = sorted([(head_of("snarbing"), 2.0), (head_of("vexil"), 0.4)])
+    f = toxicity.Field(np.array([h for h, _ in words], np.uint64), np.array([x for _, x in words]), np.array([h for h, _ in heads], np.uint64), np.array([x for _, x in heads]), -2.1, np.exp(rng.normal(0, 1, (2, 2))), np.array([-1.0, 0.6, 0.8]), 0.1)
+    texts = ["", None, "plain words only", "Grot!", "a vexil, b grot mild", "snarbing snarb snarbed x y", "mild mild a b c grot vexil d"]
+    got = np.concatenate([s for _, _, s, _ in toxicity.score_texts(f, pa.array(texts))])
+    for text, score in zip(texts, got, strict=True):
+        each = re.findall("[a-z]+", lower(text or ""))
+        gain = [dict(words).get(hash_of(w), 0.0) + dict(heads).get(head_of(w), 0.0) for w in each]
+        known = [hash_of(w) in dict(words) or head_of(w) in dict(heads) for w in each]
+        total, toxic = 0.0, np.zeros(len(each))
+        for labels in itertools.product((0, 1), repeat=len(each)):
+            x = math.prod([math.exp(g + f.bias) for g, y in zip(gain, labels, strict=True) if y] + [f.trans[a, b] for a, b in itertools.pairwise(labels)])
+            total += x
+            toxic += x * np.array(labels)
+        p = [t / total for t, k in zip(toxic, known, strict=True) if k]
+        none = sum(math.log1p(-x) for x in p)
+        some = math.log(max(1 - math.exp(none), 1e-6)) - none
+        z = f.curve @ [1, min(max(some, -12), 12), math.log1p(sum(p))]
+        assert math.isclose(score, 1 / (1 + math.exp(-z)), rel_tol=1e-6), text
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, toxic_docs):
+    docs, labels = toxic_docs
+    seen = []
+    was = toxicity.train
+    try:
+        toxicity.train = lambda texts, toxic, prior: seen.append((sum(len(t or "") for t in texts.to_pylist()), len(toxic))) or was(texts, toxic, prior)
+        toxicity.fit(docs, labels, sample_bytes=5000)
+        toxicity.fit(docs, labels, sample=50)
+    finally:
+        toxicity.train = was
+    assert 2500 < seen[0][0] <= 5000 and 50 < seen[1][1] <= 150
+
+
 @pytest.fixture(scope="module")
 def toxic_docs(spark):
     rng = np.random.default_rng(4)
@@ -134,11 +173,27 @@ def test_rates_shrink_to_the_prior(spark):
 def test_cascade_is_exact(spark):
     listed = [f"k{i}" for i in range(300)]
     universe = spark.createDataFrame([(k,) for k in listed[:200] + [f"u{i}" for i in range(5000)]], "key string")
-    c = url_filter.Cascade(spark.createDataFrame([(k,) for k in listed], "key string"), universe, 5200)
+    c = url_filter.Cascade(spark.createDataFrame([(k,) for k in listed], "key string"), 300, universe, 5200)
     from pyspark.sql import functions as F
 
     got = {r["key"] for r in universe.filter(c.has(F.col("key"))).collect()}
-    assert got == set(listed[:200]) and len(c.levels) > 1
+    assert got == set(listed[:200]) and len(c.levels) > 1 and len(c.levels[0].bits) <= c.levels[0].size / 7 + 1
+
+
+def test_longer_lists_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "CHUNK", 7)
+    rules = [(f"h{i % 10}.com", "/" + "x" * (i % 4), "block" if i % 3 else "allow") for i in range(40)]
+    pages = [(i, f"http://{'s.' * (i % 3)}h{i % 13}.com/{'x' * (i % 5)}") for i in range(80)]
+    got = url_filter.url_verdicts(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, *verdict_of(u, rules)) for i, u in pages) and {r["verdict"] for r in got} == {"allow", "block"}
+
+
+def verdict_of(url, rules):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (lower(m[1]), m[2]) if m else ("", "")
+    fit = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fit, default=None)
+    return host, path, best and best[2], best[3] if best else "allow"
 
 
 def test_urls(spark):
@@ -148,11 +203,7 @@ def test_urls(spark):
     got = [tuple(r) for r in url_filter.url_verdicts(pages, rules).collect()]
     want = []
     for i, u in [*enumerate(urls), (None, "http://com/en/"), (None, "http://com/en/")]:
-        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
-        host, path = (lower(m[1]), m[2]) if m else ("", "")
-        fit = [(len(h + p), len(h), h + p, v) for h, p, v in url_filter.QUERY_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        best = max(fit, default=None)
-        want.append((i, host, path, best and best[2], best[3] if best else "allow"))
+        want.append((i, *verdict_of(u, url_filter.QUERY_RULES)))
     assert sorted(got, key=str) == sorted(want, key=str)
     assert url_filter.url_verdicts(pages, rules.filter("false")).filter("verdict <> 'allow' or rule is not null").isEmpty()
     assert url_filter.url_verdicts(pages.filter("false"), rules).collect() == []
@@ -255,6 +306,56 @@ def test_lm_counts_and_gain(spark):
     assert recurrent_lm.lm_scores(docs.filter("false")).collect() == []
 
 
+def test_lm_score_of_the_query_step_by_step(spark, monkeypatch):
+    """The query's score column against one token at a time in plain Python, from the counts of the training words up."""
+    rng = np.random.default_rng(12)
+    docs = [(i, " ".join(rng.choice([f"w{int(k)}" for k in rng.zipf(1.4, 40) % 60], int(rng.integers(0, 80))))) for i in range(60)] + [(None, None), (99, "Never seen")]
+    monkeypatch.setattr(recurrent_lm, "TOP", 20)
+    kept = {}
+
+    def start(docs, v, **_):
+        kept["v"], kept["w"] = v, {k: (x + rng.normal(0, 0.3, x.shape)).astype(np.float32) for k, x in recurrent_lm.start_weights(v).items()}
+        return kept["w"]
+
+    monkeypatch.setattr(recurrent_lm, "train", start)
+    got = {r["doc_id"]: r["score"] for r in recurrent_lm.lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    v, w = kept["v"], {k: x.astype(float) for k, x in kept["w"].items()}
+    split = {i: [*WORD.findall(lower(t or "")), None] for i, t in docs}
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    c = Counter(x for i, t in split.items() if not held(i) for x in t)
+    hash_of = lambda x: recurrent_lm.END if x is None else recurrent_lm.tokens(*column_bytes([x]))[0][0]
+    place = {int(h): int(i) for h, i in zip(v.hashes, v.ids, strict=True)}
+    tail = sum(n for x, n in c.items() if int(hash_of(x)) not in place)
+    tail_words = len(c) - v.size
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    n = recurrent_lm.HIDDEN
+    soft = lambda x: x - x.max() - math.log(np.exp(x - x.max()).sum())
+    for i, words in split.items():
+        h, total, last = np.zeros(n), 0.0, v.size
+        for x in words:
+            a, b = w["E"][last] @ w["Wx"] + w["b"], h @ w["Wh"]
+            z, r = sigmoid(a[:n] + b[:n]), sigmoid(a[n : 2 * n] + b[n : 2 * n])
+            h = (1 - z) * np.tanh(a[2 * n :] + r * b[2 * n :]) + z * h
+            classes = soft(h @ w["C"] + w["cb"])
+            word = int(hash_of(x))
+            if word in place:
+                k = place[word]
+                cls = max(j for j in range(len(v.bound) - 1) if v.bound[j] <= k)
+                first, after = v.bound[cls], v.bound[cls + 1]
+                total += classes[cls] + soft(h @ w["W"][first:after].T + w["wb"][first:after])[k - first]
+                last = k
+            else:
+                total += classes[-1] + math.log((c[x] + 1) / (tail + tail_words + 1))
+                last = v.size + 1 + (word >> 20) % recurrent_lm.TAIL_INPUTS
+        assert math.isclose(got[i], total / math.log(10), rel_tol=1e-4), i
+
+
+def test_lm_without_training_documents(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = recurrent_lm.lm_scores(spark.createDataFrame([(i, "a b c") for i in held], "doc_id long, text string")).collect()
+    assert all(r["held_out"] and r["n_tokens"] == 4 and r["n_known"] == 0 and r["train_tokens"] == 0 and r["base_score"] == 0 and math.isfinite(r["score"]) and r["score"] <= 0 for r in got) and len(got) == len(held)
+
+
 # decontamination
 
 
