@@ -104,6 +104,36 @@ def test_suffix(docs, texts, length, hot, levels, monkeypatch):
     assert [got[i] for i in range(len(texts))] == bytes_removed(texts, length)
 
 
+def later_bytes_removed(texts, w):
+    seen, out = set(), []
+    for t in texts:
+        s = (t or "").encode()
+        gone = np.zeros(len(s) + 1, bool)
+        for i in range(len(s) - w + 1):
+            if s[i : i + w] in seen:
+                gone[i : i + w] = True
+            seen.add(s[i : i + w])
+        gone = gone[: len(s)]
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((len(s), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(s, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("length", "hot", "levels"), [(200, 2000, 1), (30, 3, 1), (30, 2, 0), (30, 2, 2)])
+def test_suffix_keeps_the_first(docs, texts, length, hot, levels, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
+    monkeypatch.setattr(suffix_dedup, "LEVELS", levels)
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(docs, length=length, keep_first=True).collect()}
+    assert [got[i] for i in range(len(texts))] == later_bytes_removed(texts, length)
+
+
+def test_suffix_keeps_one_of_equal_rows(spark):
+    rows = [(7, "q " * 60), (7, "q " * 60), (3, "first " + "r" * 80), (None, "r" * 80), (9, "r" * 80 + " more")]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=50, keep_first=True).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0]))
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == sorted((str(i), x[1]) for (i, _), x in zip(ordered, later_bytes_removed([t for _, t in ordered], 50)))
+
+
 def test_previous_factors():
     rng = np.random.default_rng(1)
     for _ in range(60):
@@ -230,8 +260,8 @@ def test_spread_join(spark, how, monkeypatch):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, i) for i in range(8)] + [(3, 0), (9, 1), (9, 2)], "k long, v long")
     right = spark.createDataFrame([(1, "a", 50), (2, "b", 8), (3, "c", 1), (4, "d", 0)], "k long, x string, c long")
     want = sorted(map(str, left.join(right.drop("c"), "k", how).collect()))
-    for size, rows in ((1 << 30, 1000), (0, 1000), (0, 5)):
-        monkeypatch.setattr(common, "BROADCAST_BYTES", size)
+    for size, rows in ((1 << 60, 1000), (0, 1000), (0, 5)):
+        monkeypatch.setattr(common, "BROADCAST_FILE", size)
         monkeypatch.setattr(common, "HOT_ROWS", rows)
         out = common.spread_join(left, right, ["k"], "c", how)
         assert sorted(map(str, out.collect())) == want and out.columns == (["k", "v"] if how == "left_anti" else ["k", "v", "x"])
