@@ -185,10 +185,62 @@ def test_shards(spark):
     assert [r["ship"] for r in shards.border_stream(ops, ["key"]).orderBy("lsn").collect()] == [INSERT, DELETE]
     load = spark.createDataFrame([("b", 1, 5), ("a", 2, 5), ("c", 3, 1), ("d", 4, 1)], "node string, shard int, load int")
     assert tuple(shards.rebalance_pick(load).first()) == ("a", "c")
-    done = spark.createDataFrame([("h1",)], "handoff string")
-    rows_ = spark.createDataFrame([(1, 7)], "id int, shard int")
-    assert shards.handoff(rows_, F.col("id") == 1, "shard", 9, "h2", done).select("id", "shard").collect() == [(1, 9)]
-    assert shards.handoff(rows_, F.col("id") == 1, "shard", 9, "h1", done).isEmpty()
+
+
+def test_new_scope_after_a_delta(spark):
+    """A row deleted at lsn 11 comes back by a diff with lsn 0 that arrives later; the diff's delete of another row outlives its update."""
+    initial = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    sent = spark.createDataFrame([(11, 0, DELETE, 1, None, 1), (12, 0, UPDATE, 2, "bb", 2), (0, 0, INSERT, 1, "again", 3), (0, 1, DELETE, 2, None, 3), (13, 0, UPDATE, 3, "cc", 4)], "lsn long, ordinal long, delta int, k int, v string, arrival long")
+    assert rows(subscriptions.client_state(initial, sent, 10, ["k"])) == [(1, "again"), (3, "cc")]
+
+
+def test_fanout_of_ranges_against_a_loop(spark):
+    raw = random_log(7)
+    rng = random.Random(1)
+    raw = [(lsn, o, op, k, rng.randrange(-3000, 3000)) for lsn, o, op, k, _, _ in raw]
+    log = spark.createDataFrame(raw, "lsn long, ordinal long, op int, key int, value long")
+    subs = [(i, low := rng.randrange(-3000, 3000), low + rng.randrange(0, 1025)) for i in range(30)] + [(99, 5, 4)]
+    got = rows(subscriptions.fanout(log, spark.createDataFrame(subs, "sub int, low long, high long"), ["key"]).select("sub", "lsn", "ordinal", "key", "delta"))
+    want, old = [], {}
+    for lsn, o, op, k, v in raw:
+        for s, low, high in subs:
+            was, now = low <= old.get(k, high + 1) <= high, op != DELETE and low <= v <= high
+            if was or now:
+                want.append((s, lsn, o, k, INSERT if not was else UPDATE if now else DELETE))
+        old.pop(k, None) if op == DELETE else old.__setitem__(k, v)
+    assert got == sorted(want) and want
+
+
+def test_frames_are_applied_by_ticks(spark):
+    initial = spark.createDataFrame([(1, "a")], "k int, v string")
+    frames = spark.createDataFrame([(1, 0, 5, 0, UPDATE, 1, "b"), (2, 0, 6, 0, INSERT, 2, "c"), (3, 0, 7, 0, DELETE, 1, None), (4, 1, 9, 0, INSERT, 4, "d")], "frame long, era int, lsn long, ordinal long, delta int, k int, v string")
+    pump = subscriptions.FramePump(initial, frames, 4, ["k"])
+    assert rows(pump.state()) == [(1, "a")] and pump.tick(1) == 1 and rows(pump.state()) == [(1, "b")] and pump.tick(1) == 1 and rows(pump.state()) == [(1, "b"), (2, "c")]
+    pump.resync(spark.createDataFrame([(7, "new")], "k int, v string"), 8)
+    assert pump.tick(9) == 1 and rows(pump.state()) == [(4, "d"), (7, "new")] and pump.tick(9) == 0
+    with pytest.raises(TidelogError):
+        pump.tick(0)
+
+
+def test_blocks_beyond_doubles(spark):
+    df = spark.createDataFrame([((1 << 60) + 15,), ((1 << 60) + 16,), (-1,), (-(1 << 60) - 1,)], "x long")
+    from tidelog.functions.spatial import block
+
+    assert [r[0] for r in df.select(block(F.col("x"), 16)).collect()] == [1 << 56, (1 << 56) + 1, -1, -(1 << 56) - 1]
+
+
+def test_moves_and_drains(spark):
+    load = spark.createDataFrame([("a", 1, 50, None), ("a", 2, 30, None), ("a", 3, 5, None), ("b", 4, 40, None), ("c", 5, 10, None)], "node string, shard int, load int, moved long")
+    assert [tuple(r) for r in shards.rebalance_move(load, hot=60).collect()] == [(1, "a", "c", 50)]
+    assert shards.rebalance_move(load, hot=90).isEmpty() and shards.rebalance_move(load.filter("shard = 1 or node <> 'a'"), hot=20).isEmpty()
+    resting = load.withColumn("moved", F.when(F.col("shard") == 1, 95).cast("long"))
+    assert [r["shard"] for r in shards.rebalance_move(resting, hot=60, now=100, rest=10).collect()] == [2]
+    assert sorted(tuple(r) for r in shards.drain(load, spark.createDataFrame([("a",)], "node string")).collect()) == [(1, "a", "c"), (2, "a", "b"), (3, "a", "c")]
+    every = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
+    assert {r["target"] for r in shards.drain(load, every).collect()} == {None}
+    state = spark.createDataFrame([(1, 0, False, True, 5, 5), (2, 0, False, True, 5, 4), (3, 1, False, True, 5, 5)], "shard int, rows int, draining boolean, fresh boolean, head int, cursor int")
+    assert [r["shard"] for r in shards.reapable(state).collect()] == [1]
+    assert shards.Instancing("shard").may_commit(state, 2).count() == 2
 
 
 def test_rate_limit_against_a_loop(spark):

@@ -184,10 +184,11 @@ class Catalog:
         except KeyError:
             raise TidelogError("unknown_table", f"no table {name}") from None
 
-    def manifest(self) -> str:
-        """Public tables and their columns as JSON."""
+    def manifest(self, procedures: dict | None = None) -> str:
+        """Public tables, their columns, and the procedures that clients may call, as JSON."""
         shown = [{"name": t.name, "primaryKey": t.pk.name, "columns": [{"name": c.name, "kind": c.kind, "enum": dict(c.enum)} for c in t.columns if not c.server_only]} for t in self.tables.values() if t.public]
-        return json.dumps({"tables": sorted(shown, key=lambda t: t["name"])}, sort_keys=True)
+        names = sorted(n for n, p in (procedures or {}).items() if p.client_callable)
+        return json.dumps({"tables": sorted(shown, key=lambda t: t["name"]), "procedures": names}, sort_keys=True)
 
 
 def _columns(text: str) -> tuple[Column, ...]:

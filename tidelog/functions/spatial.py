@@ -10,8 +10,9 @@ NEIGHBOURS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) !=
 
 
 def block(x: Column, size: int) -> Column:
-    """The block that holds a coordinate; negative coordinates floor."""
-    return F.floor(x / F.lit(size)).cast("long")
+    """The block that holds a coordinate; negative coordinates floor. In integers, so exact for all of 64 bits but the lowest `size`."""
+    c = x.cast("long")
+    return F.call_function("div", c - F.pmod(c, F.lit(size).cast("long")), F.lit(size).cast("long"))
 
 
 def pack(bx: Column, by: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.views import DELETE, INSERT, UPDATE
+from tidelog.sources.scratch import saved
 
 
 def _rest(df: DataFrame, *known: str) -> list[str]:
@@ -89,14 +90,18 @@ def preimages(log: DataFrame, keys: list[str]) -> DataFrame:
 SEQUENCE_BITS = 47
 
 
+def by_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows written once by ranges of order, with the number of their range in _part: whoever reads them twice sees the same ranges."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return saved(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
 def autoinc(rows: DataFrame, id_col: str, originator: int, last: int, order: list[str]) -> DataFrame:
     """rows with ids assigned where they are zero: originator << 47 | last + 1, + 2, ... in order.
 
     Numbers come from counts of each range of the order, so no task holds all rows.
     """
-    zero = rows.filter(F.col(id_col) == 0)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = zero.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    ranged = by_ranges(rows.filter(F.col(id_col) == 0), order)
     counts = ranged.groupBy("_part").count()
     before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # one row a partition
     number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before") + F.lit(last)

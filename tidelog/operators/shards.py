@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.spatial import NEIGHBOURS, block, distance, pack
+from tidelog.functions.spatial import NEIGHBOURS, block, distance, pack, unpack
 from tidelog.operators.views import DELETE, INSERT, UPDATE
 
 BAND, MARGIN = 2, 1
@@ -27,6 +29,38 @@ def neighbours(blocks: DataFrame) -> DataFrame:
     return blocks.select("shard", around).select("shard", pack(F.col("n.x"), F.col("n.y")).alias("neighbour"))
 
 
+@dataclass(frozen=True)
+class Instancing:
+    """A shard for each value of an integer column."""
+
+    column: str
+
+    def place(self, df: DataFrame) -> DataFrame:
+        return instancing(df, self.column)
+
+    def may_commit(self, writes: DataFrame, shard: int) -> DataFrame:
+        """Writes that the shard may not commit."""
+        return self.place(writes).filter(F.col("shard") != shard)
+
+
+@dataclass(frozen=True)
+class Spatial:
+    """A shard for each block of chunks; the owner of a block may also write within `band` chunks around it, where it sees its neighbours' rows."""
+
+    x: str
+    y: str
+    size: int
+    band: int = BAND
+
+    def place(self, df: DataFrame) -> DataFrame:
+        return spatial(df, F.col(self.x), F.col(self.y), self.size)
+
+    def may_commit(self, writes: DataFrame, shard: int) -> DataFrame:
+        """Writes that the shard may not commit: those farther than the band from its block."""
+        bx, by = unpack(F.lit(shard).cast("long"))
+        return self.place(writes).filter(distance(F.col(self.x), F.col(self.y), bx, by, self.size) > self.band)
+
+
 def spanning(writes: DataFrame, txn: str = "txn") -> DataFrame:
     """Transactions whose writes fall in more than one shard."""
     return writes.groupBy(txn).agg(F.count_distinct("shard").alias("shards")).filter("shards > 1")
@@ -98,7 +132,35 @@ def empty_shards(shards: DataFrame) -> DataFrame:
     return shards.filter((F.col("rows") == 0) & ~F.col("draining") & F.col("fresh")).select("shard").orderBy("shard")
 
 
-def handoff(log_rows: DataFrame, moving: Column, shard_by: str, destination: int, handoff_id: str, done: DataFrame) -> DataFrame:
-    """Rows that move to another shard, rehomed, unless this handoff has been done: repeating one changes nothing. done: handoff ids."""
-    moved = log_rows.filter(moving).withColumn(shard_by, F.lit(destination).cast(log_rows.schema[shard_by].dataType)).withColumn("handoff", F.lit(handoff_id))
-    return moved.join(F.broadcast(done.filter(F.col("handoff") == handoff_id).limit(1)), "handoff", "left_anti")
+def rebalance_move(load: DataFrame, hot: float, now: int = 0, rest: int = 0) -> DataFrame:
+    """The one move that relieves a hot node, or no row: the heaviest shard of the hottest node that leaves the coolest one below it.
+
+    load: node, shard, load, moved (when it was last moved; null: never). hot: the load beyond which a node is hot. A shard rests for `rest` after a move;
+    a node with a single shard can't be helped. Equal nodes and shards go by name. Nodes are few: they are summed to one row.
+    """
+    nodes = load.groupBy("node").agg(F.sum("load").alias("total"), F.count(F.lit(1)).alias("shards"))
+    hottest = nodes.agg(F.max_by(F.struct("node", "total", "shards"), F.struct("total", _reversed_name())).alias("h"))
+    others = nodes.join(F.broadcast(hottest), F.col("node") != F.col("h.node"))
+    pick = others.groupBy("h").agg(F.min_by(F.struct("node", "total"), F.struct("total", "node")).alias("c"))
+    pick = pick.filter((F.col("h.total") > hot) & (F.col("h.shards") > 1))
+    mine = load.join(F.broadcast(pick), F.col("node") == F.col("h.node"))
+    fit = mine.filter((F.col("load") > 0) & (F.col("c.total") + F.col("load") < F.col("h.total")) & (F.col("moved").isNull() | (F.lit(now) - F.col("moved") >= rest)))
+    best = fit.agg(F.max_by(F.struct("shard", F.col("node").alias("origin"), F.col("c.node").alias("target"), "load"), F.struct("load", -F.col("shard"))).alias("m"))
+    return best.filter("m is not null").select("m.*")
+
+
+def drain(load: DataFrame, leaving: DataFrame) -> DataFrame:
+    """Where the shards of leaving nodes go: heaviest first, in turn to the nodes that stay, coolest first. load: node, shard, load; leaving: node."""
+    gone = F.broadcast(leaving.select("node").distinct())
+    stay = load.groupBy("node").agg(F.sum("load").alias("total")).join(gone, "node", "left_anti").orderBy("total", "node")
+    names = [r["node"] for r in stay.collect()]  # the nodes of a cluster
+    if not names:
+        return load.join(gone, "node", "left_semi").select("shard", F.col("node").alias("origin"), F.lit(None).cast("string").alias("target"))
+    turn = (F.row_number().over(Window.partitionBy("node").orderBy(F.desc("load"), "shard")) - 1) % len(names)
+    moving = load.join(gone, "node", "left_semi")
+    return moving.select("shard", F.col("node").alias("origin"), F.element_at(F.array(*map(F.lit, names)), turn + 1).alias("target"))
+
+
+def reapable(shards: DataFrame) -> DataFrame:
+    """Empty shards whose events have all been shipped: their log may go. shards: shard, rows, draining, fresh, head, cursor."""
+    return empty_shards(shards.filter(F.col("cursor") >= F.col("head")))

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.catalog import TidelogError
-from tidelog.operators.changelog import as_of, preimages
+from tidelog.functions.spatial import block
+from tidelog.operators.changelog import as_of, by_ranges, preimages
 from tidelog.operators.views import DELETE, INSERT, UPDATE
-from tidelog.plans.analyze import MAX_SUBSCRIPTIONS
+from tidelog.plans.analyze import MAX_SPAN, MAX_SUBSCRIPTIONS
 
 Shown = Callable[[Callable[[str], Column]], Column]  # from a way to name columns, whether the row is seen
 
@@ -43,15 +44,26 @@ def deltas(log: DataFrame, keys: list[str], shown: Shown, columns: list[str] | N
     return out.select("lsn", "ordinal", "delta", *keys, *(F.when(~gone, F.col(c)).alias(c) for c in rest))
 
 
+#: Width of the bins that ranges and values meet in; ranges of subscriptions span at most MAX_SPAN, hence two bins.
+BIN = MAX_SPAN
+
+
 def fanout(log: DataFrame, subscriptions: DataFrame, keys: list[str]) -> DataFrame:
-    """All deltas of many subscriptions of the form column value: the log meets only subscriptions to its table, on table and value.
+    """All deltas of many subscriptions: column = value, or low <= column <= high of an integer column. The log meets only those of its table and value.
 
-    log has `value` and, where keys name it, table; subscriptions: sub, value and table likewise. Spark broadcasts them while they are small.
+    log has `value` and, where keys name it, table; subscriptions: sub and value, or sub, low and high, and table likewise. Ranges and values meet in bins,
+    so both kinds are equi-joins, which Spark broadcasts while the subscriptions are small.
     """
     old = preimages(log, keys)
     was = old.filter(F.col("old_op").isin(INSERT, UPDATE)).select("lsn", "ordinal", *keys, F.col("old.value").alias("value"), F.lit(1).alias("was"), F.lit(0).alias("now"))
     now = old.filter(F.col("op") != DELETE).select("lsn", "ordinal", *keys, "value", F.lit(0).alias("was"), F.lit(1).alias("now"))
-    sides = was.unionByName(now).join(subscriptions, [*(["table"] if "table" in keys else []), "value"])
+    rows, on = was.unionByName(now), ["table"] if "table" in keys else []
+    if "value" in subscriptions.columns:
+        sides = rows.join(subscriptions, [*on, "value"])
+    else:
+        bin_of = lambda c: block(F.col(c), BIN)
+        binned = subscriptions.filter("low <= high").withColumn("_bin", F.explode(F.sequence(bin_of("low"), bin_of("high"))))
+        sides = rows.withColumn("_bin", bin_of("value")).join(binned, [*on, "_bin"]).filter(F.col("value").between(F.col("low"), F.col("high")))
     both = sides.groupBy("sub", "lsn", "ordinal", *keys).agg(F.max("was").alias("was"), F.max("now").alias("now"))
     return both.select("sub", "lsn", "ordinal", *keys, F.when(F.col("now") == 0, DELETE).when(F.col("was") == 1, UPDATE).otherwise(INSERT).alias("delta"))
 
@@ -89,14 +101,45 @@ def check_resume(epoch: str, log_epoch: str, acked: int, head: int, oldest_misse
 
 
 def client_state(initial: DataFrame, sent: DataFrame, anchor: int, keys: list[str]) -> DataFrame:
-    """What a client holds: the initial set, and deltas after the anchor (or with lsn 0) in order; absent deletes are ignored."""
+    """What a client holds: the initial set, and what it was sent after the anchor, in order of arrival; absent deletes are ignored.
+
+    Diffs of a new scope have lsn 0 and count from when they arrive, so they need the column arrival; without it deltas arrive in the order of lsns.
+    """
     rest = [c for c in initial.columns if c not in keys]
-    base = initial.select(F.lit(-1).cast("long").alias("lsn"), F.lit(0).cast("long").alias("ordinal"), F.lit(INSERT).alias("delta"), *keys, *rest)
-    later = sent.filter((F.col("lsn") == 0) | (F.col("lsn") > anchor)).select(F.col("lsn").cast("long"), F.col("ordinal").cast("long"), "delta", *keys, *rest)
-    last = base.unionByName(later).groupBy(*keys).agg(F.max_by(F.struct("delta", *rest), F.struct("lsn", "ordinal")).alias("_last"))
+    arrival = F.col("arrival" if "arrival" in sent.columns else "lsn").cast("long").alias("_at")
+    base = initial.select(F.lit(-1).cast("long").alias("_at"), F.lit(0).cast("long").alias("ordinal"), F.lit(INSERT).alias("delta"), *keys, *rest)
+    later = sent.filter((F.col("lsn") == 0) | (F.col("lsn") > anchor)).select(arrival, F.col("ordinal").cast("long"), "delta", *keys, *rest)
+    last = base.unionByName(later).groupBy(*keys).agg(F.max_by(F.struct("delta", *rest), F.struct("_at", "ordinal")).alias("_last"))
     return last.filter(F.col("_last.delta") != DELETE).select(*keys, *(F.col(f"_last.{c}").alias(c) for c in rest))
 
 
+class FramePump:
+    """A client that applies what it was sent only when it is told to: frames wait in order, and each tick applies the next ones, at most so many.
+
+    frames: frame (a number that rises), era, lsn, ordinal, delta, keys and columns. A resync begins a new era; frames of older ones are dead.
+    """
+
+    def __init__(self, initial: DataFrame, frames: DataFrame, anchor: int, keys: list[str]):
+        self.initial, self.frames, self.anchor, self.keys, self.applied, self.era = initial, frames, anchor, keys, -1, 0
+
+    def resync(self, initial: DataFrame, anchor: int) -> None:
+        self.initial, self.anchor, self.era = initial, anchor, self.era + 1
+
+    def tick(self, most: int) -> int:
+        """Applies the next live frames; gives how many."""
+        if most < 1:
+            raise TidelogError("bad_argument", "a tick applies one frame at least")
+        live = self.frames.filter((F.col("frame") > self.applied) & (F.col("era") >= self.era)).select("frame").distinct().orderBy("frame").limit(most)
+        n = live.agg(F.count(F.lit(1)).alias("n"), F.max("frame").alias("last")).first()
+        if n["n"]:
+            self.applied = n["last"]
+        return n["n"]
+
+    def state(self) -> DataFrame:
+        done = self.frames.filter((F.col("frame") <= self.applied) & (F.col("era") >= self.era)).withColumn("arrival", F.col("frame"))
+        return client_state(self.initial, done, self.anchor, self.keys)
+
+
 def cache_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Changes of a cache merged over subscriptions. before, after: sub, key, value. First cover inserts, last uncover deletes, another value updates."""
     merged = lambda df, n: df.groupBy(key).agg(F.count_distinct("sub").alias(f"{n}_refs"), F.max("value").alias(f"{n}_value"))
@@ -110,9 +153,11 @@ CHUNK_BYTES = 256 << 10
 
 
 def chunks(sized: DataFrame, key: str, size: str = "bytes", budget: int = CHUNK_BYTES) -> DataFrame:
-    """Rows with the number of the chunk they go in, by the bytes of rows before them in key order. Sums of ranges first, so no task sees all rows."""
-    n = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = sized.repartitionByRange(n, key).withColumn("_part", F.spark_partition_id())
+    """Rows with the number of the chunk they go in, by the bytes of rows before them in key order. Sums of ranges first, so no task sees all rows.
+
+    The rows are written once by ranges of the key, so both the sums and the rows have the same ranges.
+    """
+    ranged = by_ranges(sized, [key])
     totals = ranged.groupBy("_part").agg(F.sum(size).alias("_sum"))
     before = totals.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # one row a partition
     so_far = F.sum(size).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size) + F.col("_before")

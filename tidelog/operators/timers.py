@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SKIP, COALESCE, RUN = "skip", "coalesce", "run_immediately"
 
@@ -42,25 +46,32 @@ RATE, BURST = 20.0, 60.0
 
 
 def rate_limited(calls: DataFrame, keys: list[str], rate: float = RATE, burst: float = BURST) -> DataFrame:
-    """Whether each call passes its key's token bucket. A recurrence: a fold over the key's calls in time order, in the JVM. calls: keys, at (seconds), n (order).
+    """Whether each call passes its key's token bucket. calls: keys, at (seconds), n (order).
 
-    A key's calls come together in one array, which the limiter's own window bounds in use.
+    A recurrence along each key's calls: they are sorted within partitions and run through once, with the bucket as the only state, so neither a key's
+    calls nor anything that grows with them is ever held.
     """
-    state = F.struct(F.lit(burst).alias("tokens"), F.lit(None).cast("double").alias("at"), F.expr("cast(array() as array<struct<n:bigint,at:double,allowed:boolean>>)").alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        have = F.least(F.lit(burst), s["tokens"] + F.coalesce(c["at"] - s["at"], F.lit(0.0)) * rate)
-        ok = have >= 1
-        return F.struct(F.when(ok, have - 1).otherwise(have).alias("tokens"), c["at"].alias("at"), F.concat(s["out"], F.array(F.struct(c["n"].alias("n"), c["at"].alias("at"), ok.alias("allowed")))).alias("out"))
-
-    listed = calls.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("at").cast("double").alias("at"), F.col("n").cast("long").alias("n")))).alias("_calls"))
-    return listed.select(*keys, F.explode(F.aggregate("_calls", state, step, lambda s: s["out"])).alias("c")).select(*keys, "c.n", "c.at", "c.allowed")
+    rows = calls.select(*keys, F.col("n").cast("long").alias("n"), F.col("at").cast("double").alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tokens, last = None, burst, None
+        for b in batches:
+            allowed = []
+            for *k, at in zip(*(b.column(c).to_pylist() for c in [*keys, "at"]), strict=True):
+                if k != key:
+                    key, tokens, last = k, burst, None
+                if last is not None:
+                    tokens = min(burst, tokens + (at - last) * rate)
+                last = at
+                allowed.append(tokens >= 1)
+                if allowed[-1]:
+                    tokens -= 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(allowed, pa.bool_())], names=[*b.schema.names, "allowed"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("allowed", T.BooleanType())])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "at", "n").mapInArrow(run, schema)
 
 
 def expired(checkpoints: DataFrame, registered: DataFrame, now: int, idle: int = 604_800) -> DataFrame:
     """Subscribers that aren't registered and whose checkpoint is older than idle seconds."""
     return checkpoints.join(registered.select("name"), "name", "left_anti").filter(F.lit(now) - F.col("touched") > idle)
-
-
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -49,12 +49,14 @@ class View:
         return self.df.orderBy(self.table.pk.name).limit(1)
 
 
-def overlay(base: DataFrame, pending: DataFrame, key: str) -> DataFrame:
-    """base with pending ops (op, and the table's columns) on top: pending rows win, deleted ones go. pending has one op for each key."""
-    columns = base.columns
-    marked = pending.select(F.col(key).alias("_key"), F.col("op").alias("_op"), *(F.col(c).alias(f"_new_{c}") for c in columns))
-    both = base.join(marked, F.col(key) == F.col("_key"), "full_outer").filter(F.col("_op").isNull() | (F.col("_op") != DELETE))
-    return both.select(*(F.when(F.col("_op").isNull(), F.col(c)).otherwise(F.col(f"_new_{c}")).alias(c) for c in columns))
+def overlay(base: DataFrame, pending: DataFrame, key: str, small: bool = False) -> DataFrame:
+    """base with pending ops (op, and the table's columns) on top: pending rows win, deleted ones go. pending has one op for each key.
+
+    Base rows stay where they are if the pending keys are few: small says so of a transaction's writes, else Spark goes by their size.
+    """
+    keys = pending.select(key)
+    kept = base.join(F.broadcast(keys) if small else keys, key, "left_anti").select(*base.columns)
+    return kept.unionByName(pending.filter(F.col("op") != DELETE).select(*base.columns))
 
 
 def unique_violations(rows: DataFrame, key: str, column: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidelog.catalog import Catalog, TidelogError
@@ -38,6 +38,12 @@ def row_bytes(table, columns=None) -> Column:
     return out
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """df, and the number of rows that an action over it scanned, for the statistics of a table."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows_scanned")), seen
+
+
 def rows(plan: Plan, df: DataFrame, ordered: bool = True) -> DataFrame:
     where = condition(plan)
     if where is not None:
