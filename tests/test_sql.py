@@ -9,11 +9,12 @@ from tidelog.plans.analyze import Mode, analyze, coerce, json_params
 from tidelog.plans.compile import checked_size, run_sql
 from tidelog.plans.sqlsubset import parse, parse_subscription
 
-STAT = Table("Stat", (Column("Id", "int64", primary=True, autoinc=True), Column("Metric", "string", indexed=True), Column("Value", "int64"), Column("At", "timestamp"), Column("Secret", "int32", server_only=True)), tier="relational")
-FLAG = Table("Flag", (Column("Id", "int64", primary=True), Column("On", "bool", indexed=True), Column("Edits", "uint32", indexed=True), Column("Height", "int32", indexed=True), Column("Ratio", "float32")))
-HIDDEN = Table("Hidden", (Column("Id", "int64", primary=True),), public=False, tier="relational")
-CATALOG = Catalog({t.name: t for t in (STAT, FLAG, HIDDEN)})
-HOUR_A = dt.datetime(2025, 7, 29, 18)
+#: Arrivals of goods at mountain huts: what came, how many kilograms, when; the porter is nobody's business.
+LOAD = Table("Load", (Column("No", "int64", primary=True, autoinc=True), Column("Goods", "string", indexed=True), Column("Kilos", "int64"), Column("Came", "timestamp"), Column("Porter", "int32", server_only=True)), tier="relational")
+HUT = Table("Hut", (Column("No", "int64", primary=True), Column("Open", "bool", indexed=True), Column("Guests", "uint32", indexed=True), Column("Altitude", "int32", indexed=True), Column("Slope", "float32")))
+CREW = Table("Crew", (Column("No", "int64", primary=True),), public=False, tier="relational")
+CATALOG = Catalog({t.name: t for t in (LOAD, HUT, CREW)})
+MONDAY = dt.datetime(2031, 3, 3)
 
 
 def code(fn):
@@ -23,10 +24,10 @@ def code(fn):
 
 
 @pytest.fixture(scope="module")
-def stats(spark):
-    at = lambda h, m: HOUR_A + dt.timedelta(hours=h, minutes=m)
-    rows = [(1, "creatures", 10, at(0, 0), 0), (2, "creatures", 20, at(0, 5), 0), (3, "players", 5, at(0, 9), 0), (4, "creatures", 40, at(1, 0), 0), (5, "players", 7, at(1, 1), 0)]
-    return spark.createDataFrame(rows, STAT.spark_schema(), verifySchema=False)
+def loads(spark):
+    day = lambda n, **more: MONDAY + dt.timedelta(days=n, **more)
+    rows = [(11, "flour", 250, day(0, hours=6), 1), (12, "salt", 16, day(0, hours=9, minutes=30), 2), (13, "flour", 75, day(2, minutes=1), 1), (14, "lamp oil", 33, day(2, hours=23), 3), (15, "salt", 8, day(2, hours=23, seconds=59), 2), (16, "flour", 125, day(9), 1), (17, "salt", 4, day(9, hours=12), 4)]
+    return spark.createDataFrame(rows, LOAD.spark_schema(), verifySchema=False)
 
 
 def rows(df):
@@ -61,54 +62,55 @@ def test_gates():
     owner = Mode(owner=True)
     go = lambda text, mode=owner, **p: analyze(parse(text, p), CATALOG, mode)
     assert code(lambda: go("SELECT * FROM Nope")) == "unknown_table"
-    assert code(lambda: go("SELECT * FROM Hidden", Mode())) == "unknown_table"
-    assert go("SELECT * FROM Hidden").columns == ("Id",)
-    assert code(lambda: go("SELECT Secret FROM Stat")) == "server_only"
-    assert code(lambda: go("SELECT * FROM Stat WHERE Secret = 1")) == "server_only"
-    assert code(lambda: go("SELECT id FROM Stat")) == "unknown_column"
-    assert code(lambda: go("SELECT * FROM Stat WHERE Value = 1")) == "unindexed_column"
-    assert go("SELECT COUNT(*) FROM Stat WHERE Value = 1").aggregate
-    assert code(lambda: go("SELECT COUNT(*) FROM Stat", Mode())) == "owner_required"
-    assert code(lambda: go("SELECT COUNT(*) FROM Flag")) == "not_relational"
-    assert code(lambda: go("SELECT COUNT(*) FROM Stat", Mode(owner=True, relational=False))) == "no_relational_tier"
-    assert code(lambda: go("SELECT Metric, COUNT(*) FROM Stat")) == "not_grouped"
-    assert code(lambda: go("SELECT SUM(Metric) FROM Stat")) == "unsupported"
-    assert code(lambda: go("SELECT DATE_TRUNC('hour', Value) FROM Stat GROUP BY DATE_TRUNC('hour', Value)")) == "unsupported"
-    assert code(lambda: go("SELECT COUNT(*) FROM Stat WHERE Value <> 0")) == "unsupported"
-    assert code(lambda: go("SELECT * FROM Stat WHERE Metric = :m", m=None)) == "bad_operand"
-    assert go("SELECT * FROM Stat WHERE Id = :i", i=None).predicate.values == (0,)
-    assert code(lambda: go("SELECT * FROM Stat WHERE Id BETWEEN 0 AND 1025")) == "range_too_wide"
-    assert go("SELECT * FROM Stat WHERE Id BETWEEN 0 AND 1024")
-    assert code(lambda: go("SELECT * FROM Stat", Mode(require=frozenset({"Stat"})))) == "predicate_required"
-    assert code(lambda: go("SELECT * FROM Stat WHERE Id = 1", Mode(require=frozenset({"Stat.Metric"})))) == "predicate_required"
-    assert go("SELECT Value, Id, Value FROM Stat").columns == ("Id", "Value")
+    assert code(lambda: go("SELECT * FROM Crew", Mode())) == "unknown_table"
+    assert go("SELECT * FROM Crew").columns == ("No",)
+    assert code(lambda: go("SELECT Porter FROM Load")) == "server_only"
+    assert code(lambda: go("SELECT * FROM Load WHERE Porter = 1")) == "server_only"
+    assert code(lambda: go("SELECT no FROM Load")) == "unknown_column"
+    assert code(lambda: go("SELECT * FROM Load WHERE Kilos = 1")) == "unindexed_column"
+    assert go("SELECT COUNT(*) FROM Load WHERE Kilos = 1").aggregate
+    assert code(lambda: go("SELECT COUNT(*) FROM Load", Mode())) == "owner_required"
+    assert code(lambda: go("SELECT COUNT(*) FROM Hut")) == "not_relational"
+    assert code(lambda: go("SELECT COUNT(*) FROM Load", Mode(owner=True, relational=False))) == "no_relational_tier"
+    assert code(lambda: go("SELECT Goods, COUNT(*) FROM Load")) == "not_grouped"
+    assert code(lambda: go("SELECT SUM(Goods) FROM Load")) == "unsupported"
+    assert code(lambda: go("SELECT DATE_TRUNC('hour', Kilos) FROM Load GROUP BY DATE_TRUNC('hour', Kilos)")) == "unsupported"
+    assert code(lambda: go("SELECT COUNT(*) FROM Load WHERE Kilos <> 0")) == "unsupported"
+    assert code(lambda: go("SELECT * FROM Load WHERE Goods = :g", g=None)) == "bad_operand"
+    assert go("SELECT * FROM Load WHERE No = :n", n=None).predicate.values == (0,)
+    assert code(lambda: go("SELECT * FROM Load WHERE No BETWEEN 0 AND 1025")) == "range_too_wide"
+    assert go("SELECT * FROM Load WHERE No BETWEEN 0 AND 1024")
+    assert code(lambda: go("SELECT * FROM Load", Mode(require=frozenset({"Load"})))) == "predicate_required"
+    assert code(lambda: go("SELECT * FROM Load WHERE No = 1", Mode(require=frozenset({"Load.Goods"})))) == "predicate_required"
+    assert go("SELECT Kilos, No, Kilos FROM Load").columns == ("No", "Kilos")
 
 
 def test_not_default():
     go = lambda text: analyze(parse(text), CATALOG)
-    assert go("SELECT * FROM Flag WHERE On <> FALSE").predicate.values == (False,)
-    assert go("SELECT * FROM Flag WHERE Edits != 0").predicate.values == (0,)
-    for text in ("Edits <> 1", "Height <> 0", "Edits <> 0.0", "On <> TRUE"):
-        assert code(lambda t=text: go(f"SELECT * FROM Flag WHERE {t}")) in ("unsupported", "bad_operand")
+    assert go("SELECT * FROM Hut WHERE Open <> FALSE").predicate.values == (False,)
+    assert go("SELECT * FROM Hut WHERE Guests != 0").predicate.values == (0,)
+    for text in ("Guests <> 1", "Altitude <> 0", "Guests <> 0.0", "Open <> TRUE"):
+        assert code(lambda t=text: go(f"SELECT * FROM Hut WHERE {t}")) in ("unsupported", "bad_operand")
 
 
-def test_aggregates(stats):
-    q = lambda text, **p: rows(run_sql(text, CATALOG, lambda _: stats, p))
-    assert q("SELECT COUNT(*) FROM Stat") == [(5,)]
-    assert q("SELECT COUNT(*), SUM(Value), MIN(Value), MAX(Value) FROM Stat WHERE Metric = :m", m="creatures") == [(3, 70, 10, 40)]
-    assert q("SELECT DATE_TRUNC('hour', At), COUNT(*) FROM Stat GROUP BY DATE_TRUNC('hour', At)") == [(HOUR_A, 3), (HOUR_A + dt.timedelta(hours=1), 2)]
-    assert q("SELECT Metric, AVG(Value) FROM Stat GROUP BY Metric") == [("creatures", 70 / 3), ("players", 6.0)]
-    assert q("SELECT COUNT(*), SUM(Value) FROM Stat WHERE Metric = 'none'") == [(0, None)]
-    assert q("SELECT COUNT(*) FROM Stat GROUP BY Metric") == [(3,), (2,)]
-    assert run_sql("SELECT MAX(At) FROM Stat", CATALOG, lambda _: stats).columns == ["max_At"]
-    assert q("SELECT Id, Metric FROM Stat WHERE Id BETWEEN 3 AND 2") == []
-    assert q("SELECT Metric, Id FROM Stat WHERE Metric = 'players'") == [(3, "players"), (5, "players")]
+def test_aggregates(loads):
+    q = lambda text, **p: rows(run_sql(text, CATALOG, lambda _: loads, p))
+    assert q("SELECT COUNT(*) FROM Load") == [(7,)]
+    assert q("SELECT COUNT(*), SUM(Kilos), MIN(Kilos), MAX(Kilos) FROM Load WHERE Goods = :g", g="salt") == [(3, 28, 4, 16)]
+    assert q("SELECT DATE_TRUNC('day', Came), COUNT(*) FROM Load GROUP BY DATE_TRUNC('day', Came)") == [(MONDAY + dt.timedelta(days=n), k) for n, k in ((0, 2), (2, 3), (9, 2))]
+    assert q("SELECT DATE_TRUNC('week', Came), SUM(Kilos) FROM Load GROUP BY DATE_TRUNC('week', Came)") == [(MONDAY, 382), (MONDAY + dt.timedelta(days=7), 129)]
+    assert q("SELECT Goods, AVG(Kilos) FROM Load GROUP BY Goods") == [("flour", 150.0), ("lamp oil", 33.0), ("salt", 28 / 3)]
+    assert q("SELECT COUNT(*), SUM(Kilos) FROM Load WHERE Goods = 'ice'") == [(0, None)]
+    assert q("SELECT COUNT(*) FROM Load GROUP BY Goods") == [(3,), (1,), (3,)]
+    assert run_sql("SELECT MAX(Came) FROM Load", CATALOG, lambda _: loads).columns == ["max_Came"]
+    assert q("SELECT No, Goods FROM Load WHERE No BETWEEN 13 AND 12") == []
+    assert q("SELECT Goods, No FROM Load WHERE Goods = 'salt'") == [(12, "salt"), (15, "salt"), (17, "salt")]
 
 
-def test_ceilings(stats):
-    assert checked_size(stats.select(*STAT.visible), STAT, 5)
-    assert code(lambda: checked_size(stats.select(*STAT.visible), STAT, 4)) == "too_many_rows"
-    assert code(lambda: checked_size(stats.select(*STAT.visible), STAT, 5, 10)) == "too_many_bytes"
+def test_ceilings(loads):
+    assert checked_size(loads.select(*LOAD.visible), LOAD, 7)
+    assert code(lambda: checked_size(loads.select(*LOAD.visible), LOAD, 6)) == "too_many_rows"
+    assert code(lambda: checked_size(loads.select(*LOAD.visible), LOAD, 7, 10)) == "too_many_bytes"
 
 
 def test_schema_rules():
@@ -120,7 +122,7 @@ def test_schema_rules():
     assert bad(pk, shard_by="id") == bad(pk, shard_by="x") == bad(pk, c("u", "string", unique=True), placement="partitioned") == bad(pk, scheduled="tick") == "bad_schema"
     timer = Table("t", (pk, c("due", "scheduleat")), scheduled="tick", placement="partitioned")
     assert not timer.public and timer.placement == "local"
-    assert '"orders"' in star_schema().manifest() and "Hidden" not in CATALOG.manifest() and "Secret" not in CATALOG.manifest()
+    assert '"orders"' in star_schema().manifest() and "Crew" not in CATALOG.manifest() and "Porter" not in CATALOG.manifest()
 
 
 def test_filters_reach_the_scan(spark):
