@@ -57,4 +57,22 @@ def test_catch_up_of_every_due_timer(spark):
         if due <= core.NOW:
             want += [(r["event_id"], f) for f in (range(due, core.NOW + 1, step) if step else [due])]
     assert any(f <= core.NOW - 600_000_000 for _, f in want)
-    assert sorted(tuple(r) for r in core.queries()["q_timer_catchup_all"](spark, FOLDER).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in core.queries()["q_timer_catchup"](spark, FOLDER).collect()) == sorted(want)
+
+
+def test_no_query_leaves_rows_out():
+    """Every query has SQL, and none of its tables is thinned out by a modulo filter."""
+    import re
+
+    sql = core.oracle_sql()
+    assert set(sql) == set(core.queries())
+    assert not [n for n, x in sql.items() if re.search(r"from (orders|events|part|customer|lineitem)\s+where\s+\w+ %", x)]
+
+
+def test_overlay_moves_no_base_rows(spark):
+    from tidelog.operators import views
+
+    base = spark.range(1000).selectExpr("id as k", "id as v")
+    pending = spark.createDataFrame([(3, 9, 2), (5, None, 3)], "k long, v long, op int")
+    plan = views.overlay(base, pending, "k", small=True)._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan and "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

@@ -11,6 +11,7 @@ from tidelog.catalog import Column, Table, star_schema
 from tidelog.functions.keys import identity
 from tidelog.operators import bulk, changelog, evolve, policies, shards, subscriptions, timers, views
 from tidelog.plans.compile import row_bytes, run_sql
+from tidelog.sources.scratch import scratch_folder
 from tidelog.sources.tables import events_log, read_table
 
 CATALOG = star_schema()
@@ -109,14 +110,6 @@ def q_as_of(spark, d):
     return changelog.as_of(events_log(spark, d), 500, ["user_id"]).drop("lsn")
 
 
-@query(LOG + "select user_id, event_type, value from state", "q_snapshot_plus_tail")
-def _snapshot_plus_tail(spark, d):
-    log = events_log(spark, d)
-    return changelog.replay(changelog.as_of(log, 400, ["user_id"]).drop("lsn"), 400, log, ["user_id"])
-
-
-query(LOG + "select user_id, event_type, value from state", "q_relational_projection")(lambda s, d: changelog.fold(events_log(s, d), ["user_id"]).drop("lsn"))
-query(LOG + ", r as (select *, row_number() over (partition by user_id order by lsn desc) as k from log where lsn <= 700) select user_id, event_type, value from r where k = 1 and op <> 3", "q_point_in_time")(lambda s, d: changelog.replay(changelog.as_of(events_log(s, d), 300, ["user_id"]).drop("lsn"), 300, events_log(s, d).filter("lsn <= 700"), ["user_id"]))
 query(LOG + "select min(lsn) as first, max(lsn) as last, count(distinct lsn) as records, max(lsn) - min(lsn) + 1 = count(distinct lsn) as contiguous from log", "q_log_contiguity")(lambda s, d: changelog.contiguity(events_log(s, d)))
 query(LOG + "select lsn, ordinal, op, user_id, event_type, value, old_op, old_value from pre", "q_preimage")(lambda s, d: changelog.preimages(events_log(s, d), ["user_id"]).select("lsn", "ordinal", "op", "user_id", "event_type", "value", "old_op", F.col("old.value").alias("old_value")))
 
@@ -133,48 +126,49 @@ def q_collapse(spark, d):
 
 
 def _batch(spark, d):
-    """Later prices of every third order, and orders that aren't there yet."""
-    o = read_table(spark, d, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", "o_totalprice")
-    later = o.select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit(1).alias("seq"))
-    again = o.filter("o_orderkey % 2 = 0").select("o_orderkey", (F.col("o_totalprice") + 2).alias("o_totalprice"), F.lit(2).alias("seq"))
-    return later.unionByName(again).unionByName(o.select((F.col("o_orderkey") + 100_000_000).alias("o_orderkey"), "o_totalprice", F.lit(1).alias("seq")))
+    """Two later prices of finished orders, one of all others, and an order with a new key for each; open orders are to be deleted where ops are asked for."""
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    later = o.withColumn("o_totalprice", F.col("o_totalprice") + 1).withColumn("seq", F.lit(1))
+    again = o.withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderstatus") == "F", 2).otherwise(1)).withColumn("seq", F.lit(2))
+    return later.unionByName(again).unionByName(o.withColumn("o_orderkey", F.col("o_orderkey") + 100_000_000).withColumn("seq", F.lit(1)))
 
 
-BATCH = """with o as (select o_orderkey, o_totalprice from orders where o_orderkey % 3 = 0),
-batch as (select o_orderkey, o_totalprice + 1 as o_totalprice, 1 as seq from o union all select o_orderkey, o_totalprice + 2, 2 from o where o_orderkey % 2 = 0
-union all select o_orderkey + 100000000, o_totalprice, 1 from o),
+BATCH = """with o as (select o_orderkey, o_totalprice, o_orderstatus from orders),
+batch as (select o_orderkey, o_totalprice + 1 as o_totalprice, o_orderstatus, 1 as seq from o
+union all select o_orderkey, o_totalprice + case when o_orderstatus = 'F' then 2 else 1 end, o_orderstatus, 2 from o
+union all select o_orderkey + 100000000, o_totalprice, o_orderstatus, 1 from o),
 last as (select * from (select *, row_number() over (partition by o_orderkey order by seq desc) as k from batch) where k = 1)
 """
 
 
 @query(BATCH + "select o_orderkey, o_totalprice from last union all select o_orderkey, o_totalprice from orders where o_orderkey not in (select o_orderkey from last)")
 def q_bulk_upsert(spark, d):
-    return changelog.upsert(read_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), _batch(spark, d), ["o_orderkey"], "seq")
+    return changelog.upsert(read_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), _batch(spark, d).drop("o_orderstatus"), ["o_orderkey"], "seq")
 
 
 @query(BATCH + "select o_orderkey % 7 as shard, 101::bigint as lsn, count(*) as rows from batch group by 1")
 def q_bulk_route(spark, d):
-    return bulk.route_counts(_batch(spark, d).withColumn("shard", F.col("o_orderkey") % 7), 100)
+    return bulk.route(_batch(spark, d).withColumn("shard", F.col("o_orderkey") % 7), scratch_folder(spark, "shards"), 100)
 
 
 @query(
     BATCH
-    + """, ops as (select o_orderkey, seq, case when o_orderkey % 5 = 0 then 3 else 2 end as op from batch),
+    + """, ops as (select o_orderkey, seq, case when o_orderstatus = 'P' then 3 else 2 end as op from batch),
 j as (select ops.*, orders.o_orderkey is not null as known, lag(op) over (partition by ops.o_orderkey order by seq) as before from ops left join orders using (o_orderkey)),
 t as (select *, case when before is not null then before <> 3 else known end as there from j)
 select o_orderkey, seq, case when op = 3 then 3 when there then 2 else 1 end as op from t where op <> 3 or there"""
 )
 def q_reconcile(spark, d):
-    ops = _batch(spark, d).select("o_orderkey", "seq", F.when(F.col("o_orderkey") % 5 == 0, 3).otherwise(2).alias("op"))
+    ops = _batch(spark, d).select("o_orderkey", "seq", F.when(F.col("o_orderstatus") == "P", 3).otherwise(2).alias("op"))
     return changelog.reconcile(read_table(spark, d, "orders").select("o_orderkey"), ops, ["o_orderkey"], "seq").select("o_orderkey", "seq", "op")
 
 
-PENDING = BATCH + ", pending as (select o_orderkey, o_totalprice, case when o_orderkey % 5 = 0 then 3 else 2 end as op from last), merged as (select coalesce(p.o_orderkey, o.o_orderkey) as o_orderkey, case when p.op is not null then p.o_totalprice else o.o_totalprice end as o_totalprice from orders o full join pending p on o.o_orderkey = p.o_orderkey where p.op is null or p.op <> 3)\n"
+PENDING = BATCH + ", pending as (select o_orderkey, o_totalprice, case when o_orderstatus = 'P' then 3 else 2 end as op from last), merged as (select coalesce(p.o_orderkey, o.o_orderkey) as o_orderkey, case when p.op is not null then p.o_totalprice else o.o_totalprice end as o_totalprice from orders o full join pending p on o.o_orderkey = p.o_orderkey where p.op is null or p.op <> 3)\n"
 
 
 def _pending(spark, d):
-    last = _batch(spark, d).groupBy("o_orderkey").agg(F.max_by("o_totalprice", "seq").alias("o_totalprice"))
-    return last.withColumn("op", F.when(F.col("o_orderkey") % 5 == 0, 3).otherwise(2))
+    last = _batch(spark, d).groupBy("o_orderkey").agg(F.max_by("o_totalprice", "seq").alias("o_totalprice"), F.first("o_orderstatus").alias("status"))
+    return last.select("o_orderkey", "o_totalprice", F.when(F.col("status") == "P", 3).otherwise(2).alias("op"))
 
 
 @query(PENDING + "select * from merged")
@@ -203,13 +197,6 @@ def q_applier_lag(spark, d):
     return changelog.applier_lag(events_log(spark, d), spark.createDataFrame([("a", 10), ("b", 100)], "name string, applied long"))
 
 
-@query(LOG + "select least(900, 40, (select max(lsn) from log)) as floor, 'applier' as holder")
-def q_truncation_floor(spark, d):
-    fixed = spark.createDataFrame([(1, "snapshot", 900), (2, "applier", 40)], "position long, name string, lsn long")
-    head = events_log(spark, d).agg(F.max("lsn").alias("lsn")).select(F.lit(3).cast("long").alias("position"), F.lit("resume").alias("name"), "lsn")
-    return changelog.truncation_floor(fixed.unionByName(head))
-
-
 # subscriptions
 def _clicks(c):
     return c("event_type") == "click"
@@ -264,10 +251,12 @@ def q_rescope_diff(spark, d):
     return subscriptions.rescope(read_table(spark, d, "events"), "event_id", F.col("event_id").between(0, 7), F.col("event_id").between(5, 12))
 
 
-@query("select 2 as op, o_orderkey from orders where o_orderkey % 2 = 0 union all select 3, o_orderkey from orders where o_orderkey % 3 = 0 and o_orderkey % 2 <> 0")
+@query("with s as (select case when o_orderstatus = 'F' then o_orderkey + 100000000 else o_orderkey end as o_orderkey from orders) select 2 as op, o_orderkey from s union all select 3, o_orderkey from orders where o_orderkey not in (select o_orderkey from s)")
 def q_reset_reconcile(spark, d):
-    o = read_table(spark, d, "orders").select("o_orderkey")
-    return subscriptions.reset_reconcile(o.filter("o_orderkey % 3 = 0"), o.filter("o_orderkey % 2 = 0"), ["o_orderkey"])
+    """A snapshot in which finished orders have other keys than the client knows."""
+    o = read_table(spark, d, "orders")
+    now = o.select(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey") + 100_000_000).otherwise(F.col("o_orderkey")).alias("o_orderkey"))
+    return subscriptions.reset_reconcile(o.select("o_orderkey"), now, ["o_orderkey"])
 
 
 @query(LOG + "select lsn, ordinal, case when op = 3 then 3 when event_type = 'click' then op else 3 end as delta, user_id from log where lsn > 600 and (op = 3 or event_type = 'click' or op = 2)")
@@ -275,21 +264,33 @@ def q_resume_replay(spark, d):
     return subscriptions.resume(events_log(spark, d), 600, ["user_id"], _clicks)
 
 
-@query(LOG + "select user_id, event_type, value from state where event_type = 'click'")
+@query(
+    LOG
+    + """, scoped as (select user_id, event_type, value from state where event_type in ('view', 'click'))
+select user_id, event_type, value from scoped"""
+)
 def q_initial_plus_delta_equals_head(spark, d):
-    log = events_log(spark, d)
-    return subscriptions.client_state(subscriptions.initial_set(log, 500, ["user_id"], _clicks), subscriptions.deltas(log, ["user_id"], _clicks), 500, ["user_id"])
+    """A client that has clicks as of lsn 500, their deltas since, and then a new scope with views too: what it holds is the state at the head."""
+    log, keys = events_log(spark, d), ["user_id"]
+    wider = lambda c: c("event_type").isin("view", "click")
+    sent = subscriptions.deltas(log, keys, _clicks).withColumn("arrival", F.col("lsn"))
+    state = changelog.fold(log, keys).drop("lsn")
+    diff = subscriptions.rescope(state, "user_id", _clicks(F.col), wider(F.col)).join(state, "user_id")
+    diff = diff.select(F.lit(0).cast("long").alias("lsn"), F.lit(0).cast("long").alias("ordinal"), "delta", "user_id", "event_type", "value", F.lit(1 << 40).alias("arrival"))
+    return subscriptions.client_state(subscriptions.initial_set(log, 500, keys, _clicks), sent.unionByName(diff), 500, keys)
 
 
 @query(
-    """with b as (select user_id % 4 as sub, user_id as key, max(value) as value from events where event_id % 2 = 0 group by 1, 2), a as (select user_id % 3 as sub, user_id as key, max(value) as value from events where event_id % 3 = 0 group by 1, 2),
+    """with b as (select user_id % 4 as sub, case when event_type = 'view' then user_id + 200000 else user_id end as key, max(value) as value from events group by 1, 2),
+a as (select user_id % 3 as sub, case when event_type = 'signup' then user_id + 100000 else user_id end as key, max(value) as value from events group by 1, 2),
 ob as (select key, count(distinct sub) as n, max(value) as v from b group by key), oa as (select key, count(distinct sub) as n, max(value) as v from a group by key)
 select coalesce(ob.key, oa.key) as key, case when ob.n is null then 1 when oa.n is null then 3 else 2 end as change, coalesce(oa.n, 0) as refs from ob full join oa on ob.key = oa.key where ob.n is null or oa.n is null or ob.v is distinct from oa.v"""
 )
 def q_cache_refcount(spark, d):
-    ev = read_table(spark, d, "events")
-    side = lambda m, k: ev.filter(F.col("event_id") % m == 0).groupBy((F.col("user_id") % k).alias("sub"), F.col("user_id").alias("key")).agg(F.max("value").alias("value"))
-    return subscriptions.cache_changes(side(2, 4), side(3, 3), "key")
+    """Views move to keys of their own before, signups after."""
+    ev, u = read_table(spark, d, "events"), F.col("user_id")
+    side = lambda kind, by, k: ev.groupBy((u % k).alias("sub"), F.when(F.col("event_type") == kind, u + by).otherwise(u).alias("key")).agg(F.max("value").alias("value"))
+    return subscriptions.cache_changes(side("view", 200_000, 4), side("signup", 100_000, 3), "key")
 
 
 @query("select event_id, ((sum(bytes) over (order by event_id) - bytes) // 4096)::bigint as chunk from (select event_id, 40 + strlen(props) as bytes from events)")
@@ -327,18 +328,18 @@ def q_timer_overrun(spark, d):
     return t.select("id", timers.missed(due, step, now).alias("missed"), *(timers.overrun(due, step, now, p).cast("long").alias(n) for p, n in ((timers.SKIP, "skip"), (timers.COALESCE, "coalesce"), (timers.RUN, "run"))))
 
 
-@query(TIMER + f"select id, unnest(case when step is null then [due] else range(due, {NOW} + 1, step) end) as fires from due where due <= {NOW} and due > {NOW} - 600000000")
-def q_timer_catchup(spark, d):
-    return timers.catch_up(_timers(spark, d).filter(F.col("due") > NOW - 600_000_000), NOW, every=True)
-
-
 @query(TIMER + f"select id, unnest(case when step is null then [due] else range(due, {NOW} + 1, step) end) as fires from due where due <= {NOW}")
-def q_timer_catchup_all(spark, d):
-    """Every due timer, however long it is overdue; q_timer_catchup is bounded to ten minutes."""
+def q_timer_catchup(spark, d):
+    """Every due timer, however long it is overdue."""
     return timers.catch_up(_timers(spark, d), NOW, every=True)
 
 
-@query(name="p_rate_limit")
+@query(
+    """with recursive c as (select user_id, event_id as n, epoch_us(ts) / 1e9 as t, row_number() over (partition by user_id order by ts, event_id) as k from events),
+r as (select user_id, n, t, k, 3.0::double as have from c where k = 1
+union all select c.user_id, c.n, c.t, c.k, least(3.0::double, (case when r.have >= 1 then r.have - 1 else r.have end) + (c.t - r.t) * 0.01::double) from r join c on c.user_id = r.user_id and c.k = r.k + 1)
+select user_id, n, t as "at", have >= 1 as allowed from r"""
+)
 def p_rate_limit(spark, d):
     """Events as calls, a hundred days in one second's scale, so that buckets run dry."""
     ev = read_table(spark, d, "events")
@@ -346,20 +347,12 @@ def p_rate_limit(spark, d):
     return timers.rate_limited(calls, ["user_id"], rate=0.01, burst=3.0)
 
 
-query(LOG + "select lsn, op, user_id from log where lsn > 800", "p_log_read")(lambda s, d: events_log(s, d).filter("lsn > 800").select("lsn", "op", "user_id"))
 query(TIMER + f"select id, due from due where due <= {NOW} - 3000000000", "p_timer_dispatch")(lambda s, d: timers.dispatch_order(_timers(s, d), NOW - 3_000_000_000).select("id", "due"))
 
 
 @query(BATCH + "select o_orderkey, seq, case when row_number() over (partition by o_orderkey order by seq) > 1 or o_orderkey in (select o_orderkey from orders) then 2 else 1 end as op from batch")
 def q_upsert_ops(spark, d):
-    return changelog.upsert_ops(read_table(spark, d, "orders").select("o_orderkey"), _batch(spark, d), ["o_orderkey"], "seq").select("o_orderkey", "seq", "op")
-
-
-@query("select event_id, (user_id % 10 = 3)::int as moved, case when user_id % 10 = 3 then 77 else user_id end as shard from events where user_id % 10 = 3", "p_handoff")
-def p_handoff(spark, d):
-    rows = read_table(spark, d, "events").select("event_id", F.col("user_id").alias("shard"))
-    done = spark.createDataFrame([("other",)], "handoff string")
-    return shards.handoff(rows, F.col("shard") % 10 == 3, "shard", 77, "h1", done).select("event_id", F.lit(1).alias("moved"), "shard")
+    return changelog.upsert_ops(read_table(spark, d, "orders").select("o_orderkey"), _batch(spark, d).drop("o_orderstatus"), ["o_orderkey"], "seq").select("o_orderkey", "seq", "op")
 
 
 # visibility
@@ -426,14 +419,16 @@ def q_border_stream(spark, d):
 
 
 @query(
-    """with l as (select o_orderkey as key, case when o_orderkey % 4 = 0 then 9 when o_orderkey % 4 = 1 then 8 end as owner from orders where o_orderkey % 3 <> 0), s as (select o_orderkey as key, case when o_orderkey % 2 = 0 then 3 else 2 end as op, 9 as owner from orders),
+    """with l as (select case when o_orderstatus = 'F' then o_orderkey + 100000000 else o_orderkey end as key, case when o_orderkey % 4 = 0 then 9 when o_orderkey % 4 = 1 then 8 end as owner from orders), s as (select o_orderkey as key, case when o_orderkey % 2 = 0 then 3 else 2 end as op, 9 as owner from orders),
 j as (select s.*, l.key is not null as here, l.owner as mine from s left join l using (key))
 select key, case when op = 3 then 3 when here then 2 else 1 end as op, owner from j where case when op = 3 then here and mine = owner else not here or mine is not null end"""
 )
 def q_border_apply(spark, d):
+    """Finished orders have other keys here than where they come from."""
     k = F.col("o_orderkey")
-    o = read_table(spark, d, "orders").select("o_orderkey")
-    local = o.filter(k % 3 != 0).select(k.alias("key"), F.when(k % 4 == 0, 9).when(k % 4 == 1, 8).alias("owner"))
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    here = F.when(F.col("o_orderstatus") == "F", k + 100_000_000).otherwise(k)
+    local = o.select(here.alias("key"), F.when(k % 4 == 0, 9).when(k % 4 == 1, 8).alias("owner"))
     return shards.border_apply(local, o.select(k.alias("key"), F.when(k % 2 == 0, 3).otherwise(2).alias("op"), F.lit(9).alias("owner")), "key")
 
 
@@ -455,6 +450,49 @@ def q_rebalance_pick(spark, d):
     return shards.rebalance_pick(load)
 
 
+@query(
+    LOAD
+    + """, hot as (select node, load from n order by load desc, node limit 1), cool as (select node, load from n where node <> (select node from hot) order by load, node limit 1)
+select shard, load.node as origin, cool.node as target, load.load from load, hot, cool
+where load.node = hot.node and hot.load > 10 and load.load > 0 and cool.load + load.load < hot.load and (select count(*) from load where node = (select node from hot)) > 1 order by load.load desc, shard limit 1"""
+)
+def q_rebalance_move(spark, d):
+    load = read_table(spark, d, "events").groupBy(F.concat(F.lit("n"), F.col("user_id") % 6).alias("node"), F.col("user_id").alias("shard")).agg(F.count(F.lit(1)).alias("load"))
+    return shards.rebalance_move(load.withColumn("moved", F.lit(None).cast("long")), hot=10)
+
+
+@query(
+    LOAD
+    + """, stay as (select node, row_number() over (order by load, node) - 1 as turn, count(*) over () as k from n where node <> 'n2'),
+m as (select shard, node, row_number() over (order by load desc, shard) - 1 as i from load where node = 'n2')
+select m.shard, m.node as origin, stay.node as target from m join stay on m.i % stay.k = stay.turn"""
+)
+def q_drain(spark, d):
+    load = read_table(spark, d, "events").groupBy(F.concat(F.lit("n"), F.col("user_id") % 6).alias("node"), F.col("user_id").alias("shard")).agg(F.count(F.lit(1)).alias("load"))
+    return shards.drain(load, spark.createDataFrame([("n2",)], "node string"))
+
+
+@query(CHUNKS + ", m as (select id, x, y, bx * 4294967296 + (cy & 4294967295) as shard from b) select id, shard from m where greatest(0 * 16 - x, x - 15, 0 * 16 - y, y - 15, 0) > 2")
+def q_may_commit(spark, d):
+    """Writes that the owner of block (0, 0) may not commit."""
+    return shards.Spatial("x", "y", 16).may_commit(_chunks(spark, d), 0).select("id", "shard")
+
+
+@query(
+    LOG
+    + """, num as (select lsn, ordinal, op, user_id, event_id_ as value from (select lsn, ordinal, op, user_id, (lsn * 37 % 3000)::bigint as event_id_ from log)),
+q as (select *, lag(op) over w as old_op, lag(value) over w as old from num window w as (partition by user_id order by lsn, ordinal)),
+s(sub, low, high) as (values (1, 0, 100), (2, 1000, 2000), (3, 2990, 2999), (4, 7, 7), (5, 9, 3)),
+f as (select sub, lsn, ordinal, user_id, coalesce(old_op in (1, 2) and old between low and high, false) as was, op <> 3 and value between low and high as now from q, s)
+select sub, lsn, ordinal, user_id, case when not now then 3 when was then 2 else 1 end as delta from f where was or now"""
+)
+def q_fanout_range(spark, d):
+    """Subscriptions to ranges, over all of the log."""
+    log = events_log(spark, d).select("lsn", "ordinal", "op", "user_id", (F.col("lsn") * 37 % 3000).alias("value"))
+    subs = spark.createDataFrame([(1, 0, 100), (2, 1000, 2000), (3, 2990, 2999), (4, 7, 7), (5, 9, 3)], "sub int, low long, high long")
+    return subscriptions.fanout(log, subs, ["user_id"])
+
+
 @query(
     """with s as (select user_id as shard, (epoch_us(ts) // 1000000)::bigint as ts, max(event_id % 100)::double as load from events group by 1, 2)
 select shard, ts, case when min(ts) over (partition by shard order by ts) <= ts - 86400 then avg(load) over (partition by shard order by ts range between 86399 preceding and current row) end as sustained from s"""
@@ -498,8 +536,12 @@ def q_identity(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tidelog import cases  # noqa: F401  adds its queries
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tidelog import cases  # noqa: F401
+
     return dict(_sql)
