@@ -260,8 +260,8 @@ def test_spread_join(spark, how, monkeypatch):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, i) for i in range(8)] + [(3, 0), (9, 1), (9, 2)], "k long, v long")
     right = spark.createDataFrame([(1, "a", 50), (2, "b", 8), (3, "c", 1), (4, "d", 0)], "k long, x string, c long")
     want = sorted(map(str, left.join(right.drop("c"), "k", how).collect()))
-    for size, rows in ((1 << 60, 1000), (0, 1000), (0, 5)):
-        monkeypatch.setattr(common, "BROADCAST_FILE", size)
+    for share, rows in ((10_000, 1000), (2, 1000), (2, 5)):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
         monkeypatch.setattr(common, "HOT_ROWS", rows)
         out = common.spread_join(left, right, ["k"], "c", how)
         assert sorted(map(str, out.collect())) == want and out.columns == (["k", "v"] if how == "left_anti" else ["k", "v", "x"])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.textnp import trim
 
-#: Text that one task of a dealt step is meant to hold; tasks stream it, so this bounds time and not memory.
+#: What one task of a dealt step is meant to hold, as Catalyst estimates it: files count as they lie there, compressed. Tasks stream it, so this bounds time.
 SHARD_BYTES = 64 << 20
 #: Rows and bytes of one Arrow batch, so that a batch of long documents stays small.
 BATCH_ROWS = 2000
@@ -41,10 +41,12 @@ def release(spark: SparkSession) -> None:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
+    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor costs no recomputation. It goes with the driver at the latest."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # noqa: SLF001  for dropped()
@@ -71,8 +73,9 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-#: Bytes of a side that may be broadcast, by Catalyst's estimate or by rows times the width given; and the share and number of rows from which a key counts as hot.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of a side that may be broadcast, by rows times their width (the driver builds every broadcast); and the share and number of rows from which a key counts
+#: as hot.
+BROADCAST_BYTES = 24 << 20
 HOT_SHARE, HOT_ROWS = 10_000, 1000
 
 
@@ -85,18 +88,18 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], count: str, ho
     """left joined with right, whose keys are unique and which has in column `count` (dropped) the rows of left with its key. how: inner, left or left_anti.
 
     Keys with more than a ten-thousandth of left's matched rows are hot: at most HOT_SHARE keys, so they are broadcast and their rows stay where they are;
-    all others are joined by a shuffle, in which no key is large. left and right are read twice: they should be tables.
+    all others are joined by a shuffle, in which no key is large, whatever the sizes. left and right are read twice: they should be tables.
     """
-    n, total, most = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
-    limit = max(HOT_ROWS, total // HOT_SHARE)
     bare = right.drop(count)
-    if plan_bytes(bare) <= BROADCAST_BYTES // 4:
+    n, total, most = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
+    if n <= HOT_SHARE:
         return left.join(F.broadcast(bare), on, how)
+    limit = max(HOT_ROWS, total // HOT_SHARE)
     if most <= limit:
-        return left.join(bare.hint("shuffle_hash" if small(n, 64) else "merge"), on, how)
+        return left.join(bare.hint("merge"), on, how)
     hot = right.filter(F.col(count) > limit)
     keys = F.broadcast(hot.select(*on))
-    rest = left.join(keys, on, "left_anti").join(right.filter(F.col(count) <= limit).drop(count), on, how)
+    rest = left.join(keys, on, "left_anti").join(right.filter(F.col(count) <= limit).drop(count).hint("merge"), on, how)
     return rest if how == "left_anti" else rest.unionByName(left.join(F.broadcast(hot.drop(count)), on, "inner"))
 
 
@@ -106,7 +109,7 @@ def parts(df: DataFrame, per: int = SHARD_BYTES) -> int:
     if size >= UNKNOWN_BYTES:
         strings = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
         size = sum(df.agg(*strings).first()) if strings else 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, math.ceil(size / per)))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / per))
 
 
 def dealt(docs: DataFrame, id_col: str, text_col: str, n: int, carry: bool = False) -> DataFrame:

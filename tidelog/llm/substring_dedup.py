@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textnp as tn
-from tidelog.llm.common import beside, dealt, dropped, parts, saved, trimmed, tuned
+from tidelog.llm.common import beside, dealt, dropped, parts, saved, spread_join, trimmed, tuned
 
 WINDOW = 35
 PHRASE = 8
@@ -217,10 +217,10 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, window: int, carry:
     n = parts(docs.select(id_col, text_col))
     ours = dealt(docs, id_col, text_col, n, carry)
     seeds = saved(ours.select("text", "shard").mapInArrow(trimmed(_seeds(window)), "seed long, shard int, n long"), "seeds")
-    twice = seeds.groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed")
-    side = seeds.join(twice, "seed", "left_semi").select("seed", "shard").distinct()
+    twice = saved(seeds.groupBy("seed").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")).filter("n > 1").select("seed", "c"), "twice")
+    side = spread_join(seeds.select("seed", "shard"), twice, ["seed"], "c", "inner").select("seed", "shard")  # a seed may come twice from two batches
     found = saved(beside(ours.select("text", "shard"), side, n, _fragments(window), "seed long, f long, shard int, n long, phrase string, w array<long>"), "fragments")
-    dropped(seeds)
+    dropped(seeds, twice)
     each = saved(found.groupBy("seed", "f").agg(F.sum("n").alias("n"), F.first("w").alias("w")), "each")
     windows = each.select("seed", "f", "n", F.explode("w").alias("w"))
     again = saved(windows.groupBy("seed", "w").agg(F.sum("n").alias("n")).filter("n > 1").select("seed", "w"), "again")

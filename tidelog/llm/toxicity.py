@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tidelog.llm import textnp as tn
 from tidelog.llm.common import drawn, held_out, trimmed, tuned
 
-SAMPLE = 2000
-SAMPLE_BYTES = 16 << 20
+SAMPLE = 1200
+SAMPLE_BYTES = 12 << 20
 #: Clean documents are sampled more, up to so many times SAMPLE.
 CLEAN = 2
 STRETCH = 100
@@ -77,9 +77,11 @@ def _weights(h: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> tuple[np.n
 def _document_counts(h: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
+    del order
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])[: len(h)]
     h, doc = h[new], doc[new]
-    keys, at = np.unique(h, return_inverse=True)
+    new = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+    keys, at = h[new], np.cumsum(new) - 1
     return keys, np.bincount(at, toxic[doc], len(keys)), np.bincount(at, ~toxic[doc], len(keys))
 
 
@@ -125,7 +127,7 @@ def _sweep(emit: np.ndarray, live: np.ndarray, trans: np.ndarray) -> tuple[np.nd
 
 
 def _fit_field(word: np.ndarray, head: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> tuple:
-    doc = tn.owners(first)
+    doc = tn.owners(first).astype(np.int32)
     n_t, n_c = int(toxic.sum()), int((~toxic).sum())
     keys, t, c = _document_counts(word, doc, toxic)
     odds = _leaning(t, c, n_t, n_c)
@@ -147,7 +149,9 @@ def _fit_field(word: np.ndarray, head: np.ndarray, first: np.ndarray, toxic: np.
     live = np.arange(STRETCH)[None, :] < size[chosen][:, None]
     at = np.where(live, new[chosen][:, None] + np.arange(STRETCH)[None, :], 0)
     y = label[at] & live
-    wi, hi = np.where(live, w_of[at], 0), np.where(live, h_of[at], 0)
+    wi, hi = np.where(live, w_of[at], 0).astype(np.int32), np.where(live, h_of[at], 0).astype(np.int32)
+    del w_of, h_of, at, doc, label
+    tn.trim()
     ww, hw = np.concatenate([[0.0], start_w]), np.zeros(len(heads) + 1)
     bias, logt = -4.0, np.zeros((2, 2))
     seen = np.zeros((2, 2))
@@ -298,7 +302,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = F.broadcast(pick[0].unionByName(pick[1]))  # ids, sample * (1 + CLEAN) at most
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select(F.xxhash64("id", "text").alias("lot"), "text", (F.col("y") > 0).alias("kind"))
     table = drawn(rows, most, sample_bytes).toArrow().combine_chunks().sort_by("lot")
-    return train(table.column("text"), table.column("kind").to_numpy().astype(bool), prior)
+    field = train(table.column("text"), table.column("kind").to_numpy().astype(bool), prior)
+    tn.trim()  # the driver goes on with other stages
+    return field
 
 
 def score_texts(field: Field, texts: pa.Array):
