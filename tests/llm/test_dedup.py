@@ -224,11 +224,12 @@ def test_one_of_each_beside_any_column(spark):
     assert out.schema == df.schema and sorted(r["doc_id"] for r in out.collect()) == [1, 3]
 
 
-@pytest.mark.parametrize(("block", "shingles"), [(4, 1 << 20), (1024, 200)])
-def test_ngram_hot_bucket(spark, block, shingles, monkeypatch):
+@pytest.mark.parametrize(("block", "shingles", "paired"), [(4, 1 << 20, 1), (1024, 200, 4), (4, 1 << 20, 99)])
+def test_ngram_hot_bucket(spark, block, shingles, paired, monkeypatch):
     """A group of near copies of which many are linked with their origin only, beside one that is linked by a chain, in buckets of many blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(ngram_join, "PAIRED", paired)
     rng = np.random.default_rng(5)
     base = [f"a{i}" for i in range(70)]
 

@@ -6,9 +6,9 @@
    need / h of what it shares with a partner, and the same hub does so for the partner: both meet in that hub's bucket.
 3. A bucket's sets are ordered by falling frequency in a trie. Every set traverses it, sharing the partial overlaps of common paths; a subtree is
    left when overlap so far plus what remains on either side can't reach the least overlap that its sizes require. Links come as spanning edges.
-4. A bucket of many sets or shingles is first held against a few pivots, the sets that share most with its hub, in blocks: sets linked with a pivot
-   have its label and are known to be connected. Then pairs of blocks are tasks of their own, but for pairs of one label; so a large group of
-   near copies costs its size and not its square, no link is lost, and no task holds a whole hot bucket.
+4. A bucket of many sets or shingles is split into blocks, and pairs of blocks are tasks of their own. One of more than a few blocks is first held against
+   pivots, the sets that share most with its hub: sets linked with a pivot have its label and are known to be connected, so pairs of one label are no
+   task. A large group of near copies thus costs its size and not its square, no link is lost, and no task holds a whole hot bucket.
 5. Edges become components by alternating large-star and small-star steps, and classes give them to their documents.
 
 Joins on shingles, buckets, nodes and set hashes broadcast the few keys that hold very many rows, so one hot key doesn't make one long task.
@@ -35,8 +35,8 @@ PERCENT = 80
 SPARE = 0.06
 #: Sets, and shingles of sets, in one block of a bucket.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
-#: Sets of a bucket with several blocks that all others are held against.
-PIVOTS = 4
+#: Sets that all others of a bucket are held against, where it has more blocks than PAIRED; pairs of few blocks cost less than another pass over the sets.
+PIVOTS, PAIRED = 4, 4
 #: Bytes of a row of two to five numbers once broadcast.
 ROW_BYTES = 96
 
@@ -334,7 +334,7 @@ def _labelled(homes: DataFrame, sets: DataFrame, n_parts: int, percent: int) ->
     lots = homes.groupBy("bucket", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(PIVOTS)).alias("lot")).agg(F.max(F.struct("count", "cls")).alias("top"), F.first("m").alias("m"))
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("top"))) - 1  # of PIVOTS rows
     pivots = lots.select("bucket", rank.alias("rank"), F.col("top.cls").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("b"))
-    tasks = homes.select("bucket", F.lit(PIVOTS).alias("rank"), "cls", mine(F.col("m")).alias("b")).unionByName(pivots)
+    tasks = saved(homes.select("bucket", F.lit(PIVOTS).alias("rank"), "cls", mine(F.col("m")).alias("b")).unionByName(pivots), "tasks")
     rows = tasks.join(sets, "cls").repartition(n_parts, "bucket", "b").sortWithinPartitions("bucket", "b", "rank")
     labels = saved(rows.mapInArrow(trimmed(_labels(percent)), "bucket long, cls long, label long, pivots array<long>"), "labels")
     known = labels.select("bucket", "cls", "label").join(homes.select("bucket", "cls", "n"), ["bucket", "cls"])
@@ -376,19 +376,19 @@ def _linked(narrow: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     side = F.broadcast(wanted) if small(wanted.count(), ROW_BYTES) else wanted
     sets = narrow.join(side, (F.col("row.h1") == F.col("r1")) & (F.col("row.h2") == F.col("r2"))).select("cls", "s1", "s2", "text")
     sets = saved(sets.mapInArrow(trimmed(_whole_sets(words)), "cls long, tokens array<long>"), "whole")
-    one = F.lit(0)
-    tasks = homes.filter("m = 1").select("cls", "bucket", one.alias("i"), one.alias("j"), one.alias("b"), F.lit(None).cast("long").alias("label"))
-    links = None
-    if not sizes.filter("m > 1").isEmpty():
-        split, links = _labelled(homes.filter("m > 1"), sets, n_parts, percent)
-        b = (F.col("offset") + F.pmod(F.xxhash64("cls"), F.col("m"))).cast("int")
-        others = split.withColumn("b", b).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
-        others = others.filter(F.col("label").isNull() | (F.col("o") < F.col("offset")) | (F.col("o") >= F.col("offset") + F.col("m")))
-        tasks = tasks.unionByName(others.select("cls", "bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "label"))
+    none, zero = F.lit(None).cast("long").alias("label"), F.lit(0)
+    split, links = homes.filter(F.col("m") <= PAIRED).select("bucket", "cls", none, "m", zero.alias("offset"), F.col("m").alias("all")), None
+    if not sizes.filter(F.col("m") > PAIRED).isEmpty():
+        more, links = _labelled(homes.filter(F.col("m") > PAIRED), sets, n_parts, percent)
+        split = split.unionByName(more)
+    b = (F.col("offset") + F.pmod(F.xxhash64("cls"), F.col("m"))).cast("int")
+    others = split.withColumn("b", b).withColumn("o", F.explode(F.sequence(zero, F.col("all") - 1)))
+    others = others.filter(F.col("label").isNull() | (F.col("o") < F.col("offset")) | (F.col("o") >= F.col("offset") + F.col("m")))
+    tasks = saved(others.select("cls", "bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "label"), "tasks")
     groups = tasks.join(sets, "cls").repartition(n_parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     edges = groups.mapInArrow(trimmed(_edges(percent)), "u long, v long")
     edges = saved(edges if links is None else edges.unionByName(links), "edges")
-    dropped(sets, homes, sizes, wanted)
+    dropped(sets, homes, sizes, wanted, tasks)
     roots = components(edges)
     least = roots.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
     groups = least.groupBy("root").agg(F.min("rep").alias("comp"), F.count(F.lit(1)).alias("c"))
