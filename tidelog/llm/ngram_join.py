@@ -209,39 +209,52 @@ def _ranked(tokens: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.
     return [np.sort(ranks[off[i] : off[i + 1]][keep[off[i] : off[i + 1]]]) for i in range(len(tokens))], sizes, np.zeros(len(values) + 1, np.int64)
 
 
-def join_bucket(tokens: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Edges that span the components of the sets given, each an array of distinct hashes."""
-    n = len(tokens)
-    if n < 2:
-        return []
-    seqs, sizes, mark = _ranked(tokens)
-    trie = Trie(seqs, sizes)
-    root = list(range(n))
+class Forest:
+    """Components of n numbers by the edges that were let in: those that join two of them."""
 
-    def find(i: int) -> int:
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def _find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
-    edges = []
+    def joins(self, i: int, j: int) -> bool:
+        a, b = self._find(i), self._find(j)
+        self.root[max(a, b)] = min(a, b)
+        return a != b
+
+
+def join_bucket(tokens: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Edges that span the components of the sets given, each an array of distinct hashes."""
+    n = len(tokens)
+    if n < 2:
+        return []
+    seqs, sizes, mark = _ranked(tokens)
+    trie, forest, edges = Trie(seqs, sizes), Forest(n), []
     for leaf in range(n):
         for other in trie.linked(trie.seq[leaf], int(trie.size[leaf]), mark, percent, leaf).tolist():
-            a, b = find(leaf), find(other)
-            if a != b:
-                root[max(a, b)] = min(a, b)
+            if forest.joins(leaf, other):
                 edges.append((int(trie.order[leaf]), int(trie.order[other])))
     return edges
 
 
 def join_blocks(asking: list[np.ndarray], asked: list[np.ndarray], percent: int = PERCENT, connected: bool = False) -> list[tuple[int, int]]:
-    """Links from one block's sets to another's. connected: the asked ones are of one component, so one link of each asking set is enough."""
+    """Edges that span what one block's sets are linked with of another's. connected: the asked ones are of one component, so one link of each asking set is
+    enough."""
     if not asking or not asked:
         return []
     seqs, sizes, mark = _ranked([*asking, *asked])
     n = len(asking)
-    trie = Trie(seqs[n:], sizes[n:])
-    return [(i, int(trie.order[leaf])) for i in range(n) for leaf in trie.linked(seqs[i], int(sizes[i]), mark, percent, one=connected)[: 1 if connected else None].tolist()]
+    trie, forest, edges = Trie(seqs[n:], sizes[n:]), Forest(n + len(asked)), []
+    for i in range(n):
+        for leaf in trie.linked(seqs[i], int(sizes[i]), mark, percent, one=connected)[: 1 if connected else None].tolist():
+            if forest.joins(i, n + leaf):
+                edges.append((i, int(trie.order[leaf])))
+    return edges
 
 
 def _groups(batches, keys: list[str], columns: list[str]):
